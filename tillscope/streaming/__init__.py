@@ -1,0 +1 @@
+"""No streaming operators: every report in scope is a batch report."""
