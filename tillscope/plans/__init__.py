@@ -2,6 +2,6 @@
 
 
 def all_queries():
-    from tillscope.plans import reports
+    from tillscope.plans import models, reports, statistics
 
-    return list(reports.QUERIES)
+    return [*reports.QUERIES, *statistics.QUERIES, *models.QUERIES]
