@@ -137,7 +137,7 @@ def beta_fraction(d: Spark) -> str:
     step = d.let("u_", half(odd, "s_bf"), d.let("w_", half(even, "u_"), d.record(
         {"c": "w_.c", "d": "w_.d", "h": "s_bf.h * u_.d * u_.c * w_.d * w_.c"})))
     first = f"1e0 / {away_from_zero(f'(1e0 - ({a} + {b}) * {x} / ({a} + 1e0))', d, 'z_')}"
-    steps = f"least(4000e0, 80e0 + 3e0 * sqrt(least({a}, {b})))"
+    steps = f"least(4000e0, 50e0 + 3e0 * sqrt(least({a}, {b})))"
     return d.fold(steps, {"c": "1e0", "d": first, "h": first}, "s_bf", "m_bf", step, "h")
 
 
@@ -148,9 +148,9 @@ def beta_inc(a: str, b: str, x: str, xc: str, d: Spark = SPARK) -> str:
                        "x": f"CASE WHEN {swap} THEN bx_.xc ELSE bx_.x END", "xc": f"CASE WHEN {swap} THEN bx_.x ELSE bx_.xc END"})
     log_xc = f"(CASE WHEN bi_.x < 0.5e0 THEN {log1m('bi_.x')} ELSE ln(bi_.xc) END)"
     front = f"exp(bi_.a * ln(bi_.x) + bi_.b * {log_xc} - {log_beta('bi_.a', 'bi_.b', d)}) / bi_.a"
-    value = d.let("bi_", chosen, f"{front} * {beta_fraction(d)}")
-    body = (f"CASE WHEN bx_.x <= 0e0 THEN 0e0 WHEN bx_.xc <= 0e0 THEN 1e0 "
-            f"WHEN {swap} THEN 1e0 - {value} ELSE {value} END")
+    inner = d.let("bi_", chosen, f"{front} * {beta_fraction(d)}")
+    value = d.let("v_", inner, f"CASE WHEN {swap} THEN 1e0 - v_ ELSE v_ END")
+    body = f"CASE WHEN bx_.x <= 0e0 THEN 0e0 WHEN bx_.xc <= 0e0 THEN 1e0 ELSE {value} END"
     return d.let("bx_", d.record({"a": f"CAST({a} AS DOUBLE)", "b": f"CAST({b} AS DOUBLE)",
                                   "x": f"CAST({x} AS DOUBLE)", "xc": f"CAST({xc} AS DOUBLE)"}), body)
 

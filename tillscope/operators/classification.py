@@ -87,7 +87,7 @@ def return_model(df: DataFrame, **kwargs) -> DataFrame:
     scored, _, data = fit_returns(df, **kwargs)
     scored = stage(scored, "return-scores")
     auc = roc_auc(scored).select("auc").scalar()
-    sizes = data.agg(F.struct(F.count_if("NOT is_test").alias("n_train"), F.count_if("is_test").alias("n_test"),
+    sizes = data.agg(F.struct(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
                               F.avg("label").alias("base_rate"))).scalar()
     return (classification_metrics(scored).withColumn("auc", auc).withColumn("s", sizes)
             .select("auc", "accuracy", "precision", "recall", "s.n_train", "s.n_test", "s.base_rate",

@@ -18,14 +18,13 @@ def anova_power(f: str, d: sp.Spark = sp.SPARK) -> str:
 
 
 def critical_f(alpha: float, d: sp.Spark = sp.SPARK) -> str:
-    return sp.bisect("0e0", "1e5", 75, lambda x: f"{sp.f_sf(x, 'df1', 'df2', d)} > {sp.num(alpha)}", d)
+    return sp.bisect("0e0", "1e5", 55, lambda x: f"{sp.f_sf(x, 'df1', 'df2', d)} > {sp.num(alpha)}", d)
 
 
 def minimum_effect(target: float, d: sp.Spark = sp.SPARK) -> str:
     """SQL for the smallest ``f`` with the target power; NULL outside the searched range."""
-    low, high = anova_power(sp.num(F_MIN), d), anova_power(sp.num(F_MAX), d)
-    root = sp.bisect(sp.num(F_MIN), sp.num(F_MAX), 50, lambda x: f"{anova_power(x, d)} < {sp.num(target)}", d)
-    return f"CASE WHEN {low} < {sp.num(target)} AND {high} > {sp.num(target)} THEN {root} END"
+    root = sp.bisect(sp.num(F_MIN), sp.num(F_MAX), 40, lambda x: f"{anova_power(x, d)} < {sp.num(target)}", d)
+    return d.let("mde_", root, f"CASE WHEN mde_ > {sp.num(F_MIN)} AND mde_ < {sp.num(F_MAX * (1 - 1e-9))} THEN mde_ END")
 
 
 def detectable_effects(df: DataFrame, cats: Sequence[str], alpha: float = 0.05, target: float = 0.8) -> DataFrame:

@@ -47,7 +47,7 @@ def fit_ols(train: DataFrame):
 def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42):
     """Bagged regression trees that try every feature at every split."""
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=128,
-                                 maxMemoryInMB=1024, seed=seed).fit(train)
+                                 maxMemoryInMB=256, seed=seed).fit(train)
 
 
 def ols_coefficients(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
@@ -85,16 +85,19 @@ def fit_quality(predictions: DataFrame) -> DataFrame:
 
 def revenue_models(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
                    seed: int = 42, key=None, trees: int = 150, depth: int = 14) -> DataFrame:
-    """Linear baseline and random forest: R², MAE, sizes and the gap in R²."""
+    """Linear baseline and random forest: R², MAE, sizes, the gap in R² and the
+    forest's feature importances."""
     require(df)
     data = prepared(df, features, label, seed, key)
     train, test = data.where("NOT is_test"), data.where("is_test")
     lr_r2, lr_mae = scores(fit_ols(train), test)
-    rf_r2, rf_mae = scores(fit_forest(train, trees, depth, seed), test)
-    sizes = data.agg(F.count_if("NOT is_test").alias("n_train"), F.count_if("is_test").alias("n_test"))
+    forest = fit_forest(train, trees, depth, seed)
+    rf_r2, rf_mae = scores(forest, test)
+    importance = [F.lit(float(v)).alias(f"importance_{f}") for f, v in zip(features, forest.featureImportances.toArray())]
+    sizes = data.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
     return sizes.select(F.lit(lr_r2).alias("lr_r2"), F.lit(lr_mae).alias("lr_mae"), F.lit(rf_r2).alias("rf_r2"),
                         F.lit(rf_mae).alias("rf_mae"), F.lit(rf_r2 - lr_r2).alias("r2_gap"),
-                        F.lit(rf_r2 > 0.99).alias("solved"), "n_train", "n_test")
+                        F.lit(rf_r2 > 0.99).alias("solved"), "n_train", "n_test", *importance)
 
 
 def forest_importance(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",

@@ -94,9 +94,9 @@ qm AS (SELECT *, CASE WHEN position = n THEN power(0.5, 1 / n) WHEN position = 1
 qq AS (SELECT *, {sp.normal_quantile('p', DUCK)} AS quantile FROM qm)
 ---
 SELECT position, quantile, value, quantile * sd AS reference FROM qq""")
-add("revenue_models", "lr_r2:6 lr_mae:2 rf_r2:6 rf_mae:2 r2_gap:6 solved:b n_train:l n_test:l",
+add("revenue_models", "lr_r2:6 lr_mae:2 rf_r2:6 rf_mae:2 r2_gap:6 solved:b n_train:l n_test:l "
+    "importance_product_price:6 importance_quantity:6 importance_discount_percentage:6",
     lambda c: rg.revenue_models(revenue(c), key=SAMPLE_KEYS))
-add("forest_importance", "feature importance:6", lambda c: rg.forest_importance(revenue(c), key=SAMPLE_KEYS))
 
 # --- returns ----------------------------------------------------------------
 
@@ -128,12 +128,12 @@ t AS (SELECT sum(returned)::DOUBLE AS p, sum(1 - returned)::DOUBLE AS q, sum(r)
 ---
 SELECT p AS positives, q AS negatives, (r - p * (p + 1) / 2) / (p * q) AS auc FROM t""")
 ROC_SQL = """vc AS (SELECT CAST({s} AS DOUBLE) AS v, sum(returned) AS pos, sum(1 - returned) AS neg FROM en GROUP BY 1),
-cu AS (SELECT v, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, row_number() OVER w AS at, pos, neg, lead(pos) OVER w AS np,
+cu AS (SELECT v, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, row_number() OVER w AS spot, pos, neg, lead(pos) OVER w AS np,
   lead(neg) OVER w AS nn FROM vc WINDOW w AS (ORDER BY v DESC))
 ---
 SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr UNION ALL
 SELECT v, fp / (SELECT sum(neg) FROM vc)::DOUBLE, tp / (SELECT sum(pos) FROM vc)::DOUBLE FROM cu
-  WHERE at = 1 OR np IS NULL OR np != pos OR nn != neg"""
+  WHERE spot = 1 OR np IS NULL OR np != pos OR nn != neg"""
 for _s in ("discount_percentage", "final_price"):
     add(f"roc_curve_{_s}", "threshold:4 fpr:8 tpr:8", lambda c, s=_s: cl.roc_curve(c.flat("returned", s), "returned", s),
         ROC_SQL.format(s=_s))

@@ -281,10 +281,22 @@ add("bootstrap_cramers_v", "replicates:l point:8 ci_low:8 ci_high:8 plug_in:8",
 add("bootstrap_eta_squared", "replicates:l point:8 ci_low:8 ci_high:8 plug_in:8",
     lambda c: bs.bootstrap_effect(c.flat("product_category", "final_price"), "product_category", "eta_squared"))
 _SIZES = "sz AS (" + " UNION ALL ".join(
-    f"SELECT '{x}' AS category, count(*)::DOUBLE AS n, count(DISTINCT {x})::DOUBLE AS k FROM en" for x in TEST_DIMS) + f"""),
-dg AS (SELECT *, k - 1 AS df1, n - k AS df2 FROM sz),
-cr AS (SELECT *, {pw.critical_f(0.05, DUCK)} AS f_crit FROM dg),
-md AS (SELECT *, {pw.minimum_effect(0.8, DUCK)} AS mde FROM cr)"""
+    f"SELECT '{x}' AS category, count(*)::DOUBLE AS n, count(DISTINCT {x})::DOUBLE AS k FROM en" for x in TEST_DIMS) + """),
+dg AS (SELECT *, k - 1 AS df1, n - k AS df2, 1.2e0 AS f_crit FROM sz)"""
+# the engine bisects; here Newton steps find the critical value and secant steps the detectable effect
+for _i in range(12):
+    _density = ("exp(df1 / 2 * ln(df1 * f_crit / (df2 + df1 * f_crit)) + df2 / 2 * ln(df2 / (df2 + df1 * f_crit)) - "
+                + sp.log_beta("df1 / 2", "df2 / 2", DUCK) + ") / f_crit")
+    _prev = "dg" if _i == 0 else f"n{_i - 1}"
+    _SIZES += (f",\nn{_i} AS (SELECT * REPLACE (f_crit + ({sp.f_sf('f_crit', 'df1', 'df2', DUCK)} - 0.05) / ({_density}) "
+               f"AS f_crit) FROM {_prev})")
+_SIZES += f""",
+e0 AS (SELECT *, sqrt(8 / n) AS fa, sqrt(12 / n) AS fb FROM n11),
+e1 AS (SELECT *, {pw.anova_power('fa', DUCK)} - 0.8 AS ga, {pw.anova_power('fb', DUCK)} - 0.8 AS gb FROM e0)"""
+for _i in range(2, 12):
+    _SIZES += (f",\nx{_i} AS (SELECT *, coalesce(fb - gb * (fb - fa) / nullif(gb - ga, 0), fb) AS fc FROM e{_i - 1}),"
+               f"\ne{_i} AS (SELECT * EXCLUDE (fc) REPLACE (fb AS fa, gb AS ga, fc AS fb, {pw.anova_power('fc', DUCK)} - 0.8 AS gb) FROM x{_i})")
+_SIZES += ",\nmd AS (SELECT *, fb AS mde FROM e11)"
 add("detectable_effects", "category n:l k:l f_crit:6 mde:6 mde_eta_squared:8",
     lambda c: pw.detectable_effects(c.full, TEST_DIMS),
     _SIZES + "\n---\nSELECT *, mde * mde / (1 + mde * mde) AS mde_eta_squared FROM md")
