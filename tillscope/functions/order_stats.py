@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUP_BROADCAST_LIMIT = 50_000
-SPLITS = 4096
+SPLITS = 1024
 
 
 def rounded_bits(v: str, bits: int) -> str:
@@ -114,11 +114,18 @@ def quantiles_of(df: DataFrame, value: str, probs: Sequence[float]) -> Column:
     return exact_quantiles(df, value, probs).select("q").scalar()
 
 
-def range_of(key: str, splits: str) -> Column:
-    """How many of the sorted ``splits`` are at or below ``key`` (binary search)."""
-    steps = ", ".join(str(SPLITS >> i) for i in range(SPLITS.bit_length()))
-    return F.expr(f"""aggregate(array({steps}), 0,
-        (at, step) -> CASE WHEN get({splits}, at + step - 1) <= {key} THEN at + step ELSE at END)""")
+def with_range(df: DataFrame, key: str, splits: Column) -> DataFrame:
+    """Add ``_b``: how many of the sorted ``splits`` are at or below ``key``.
+
+    A binary search written out as one projection per step, which compiles into
+    the surrounding stage; the array is referred to, never copied into a row.
+    """
+    out = df.withColumns({"_s": splits, "_key": F.expr(key), "_b": F.lit(0)})
+    step = SPLITS
+    while step:
+        out = out.withColumn("_b", F.expr(f"_b + IF(get(_s, _b + {step - 1}) <= _key, {step}, 0)"))
+        step //= 2
+    return out.drop("_s", "_key")
 
 
 def ranked_counts(counts: DataFrame, order: Sequence[str], weights: Sequence[str],
@@ -135,8 +142,7 @@ def ranked_counts(counts: DataFrame, order: Sequence[str], weights: Sequence[str
     key = f"struct({', '.join(keys)})"
     sample = (counts.selectExpr(f"{key} AS k").orderBy(F.xxhash64("k"), "k").limit(SPLITS)
               .agg(F.expr("sort_array(collect_list(k)) AS s")))
-    tagged = (counts.withColumn("_s", sample.scalar())
-              .withColumn("_b", range_of(key, "_s")).drop("_s"))
+    tagged = with_range(counts, key, sample.scalar())
 
     groups = keys[:len(within)]
     totals = tagged.groupBy(*within, "_b").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])

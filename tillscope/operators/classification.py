@@ -73,7 +73,7 @@ def fit_returns(df: DataFrame, num: Sequence[str] = NUMERIC, cat: Sequence[str]
     names = [*num, *indicator_names(indexer, cat)]
     population = ElementwiseProduct(scalingVec=Vectors.dense([((n / (n - 1)) ** 0.5)] * len(names)),
                                     inputCol="_scaled", outputCol="features")
-    logistic = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
+    logistic = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
     model = Pipeline(stages=[indexer, *parts[1:], population, logistic]).fit(train)
     scored = (model.transform(data.where("is_test"))
               .select(F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score")))

@@ -15,15 +15,32 @@ from tillscope.operators.group_tests import flag
 from tillscope.operators.metrics import stacked
 
 VIF_HIGH, VIF_MODERATE = 10, 5
+PAIRS_PER_SCAN = 6
+
+
+def upper_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row (x, y, r) per unordered pair, the diagonal included.
+
+    Pairs are aggregated a few at a time: each correlation keeps six running
+    values, and many at once compile to a method too large for the JIT.
+    """
+    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
+    parts = []
+    for at in range(0, len(pairs), PAIRS_PER_SCAN):
+        chunk = pairs[at:at + PAIRS_PER_SCAN]
+        wide = df.selectExpr(*[f"struct('{x}' AS x, '{y}' AS y, corr(`{x}`, `{y}`) AS r) AS p{k}"
+                               for k, (x, y) in enumerate(chunk)])
+        parts.append(wide.selectExpr(f"inline(array({', '.join(f'p{k}' for k in range(len(chunk)))}))"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row (x, y, r) per ordered pair, from one pass over the upper triangle."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    wide = df.agg(*[F.corr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    both = ", ".join(f"struct('{cols[a]}' AS x, '{cols[b]}' AS y, r{i}_{j} AS r)"
-                     for i, j in pairs for a, b in {(i, j), (j, i)})
-    return wide.selectExpr(f"inline(array({both}))")
+    """One row (x, y, r) per ordered pair."""
+    return upper_correlations(df, cols).selectExpr(
+        "inline(CASE WHEN x = y THEN array(struct(x, y, r)) ELSE array(struct(x, y, r), struct(y AS x, x AS y, r)) END)")
 
 
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -106,32 +123,36 @@ def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation of each column given the others, largest first.
 
-    One pass gives the correlation matrix, one row of k² numbers; the k small
-    regressions are solved on that row.
+    The correlation matrix is one row of k² numbers; the k small regressions
+    are solved on that row. A constant column correlates with nothing.
     """
-    k = len(cols)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    row = df.agg(F.array(*[F.corr(cols[i], cols[j]) for i, j in pairs]).alias("r"),
-                 F.array(*[F.coalesce(F.var_pop(c) > 0, F.lit(False)) for c in cols]).alias("varies"))
+    row = upper_correlations(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols).agg(
+        F.collect_list(F.struct("x", "y", "r")).alias("pairs"))
 
     @F.pandas_udf("array<double>")
-    def inflate(r: pd.Series, varies: pd.Series) -> pd.Series:
-        return pd.Series([inflation(k, pairs, list(a), list(b)) for a, b in zip(r, varies)])
+    def inflate(pairs: pd.Series) -> pd.Series:
+        return pd.Series([inflation(cols, p) for p in pairs])
 
     names = ", ".join(f"'{c}'" for c in cols)
-    return (row.select(F.posexplode(inflate("r", "varies")).alias("pos", "vif"))
+    return (row.select(F.posexplode(inflate("pairs")).alias("pos", "vif"))
             .select(F.expr(f"get(array({names}), pos)").alias("variable"), "vif")
             .withColumn("flag", F.expr(f"CASE WHEN vif >= {VIF_HIGH} THEN 'High' "
                                        f"WHEN vif >= {VIF_MODERATE} THEN 'Moderate' ELSE 'OK' END"))
             .orderBy(F.desc("vif"), "variable"))
 
 
-def inflation(k, pairs, r, varies) -> list[float]:
+def inflation(cols, pairs) -> list[float]:
     """1 / (1 − R²) of each variable from the correlations of all pairs."""
-    m = np.eye(k)
-    for (i, j), value in zip(pairs, r):
-        usable = varies[i] and varies[j] and value is not None
-        m[i, j] = m[j, i] = value if usable else 0.0
+    k = len(cols)
+    at = {c: i for i, c in enumerate(cols)}
+    m, varies = np.eye(k), [False] * k
+    for p in pairs:
+        i, j = at[p["x"]], at[p["y"]]
+        usable = p["r"] is not None and np.isfinite(p["r"])
+        if i == j:
+            varies[i] = usable
+        else:
+            m[i, j] = m[j, i] = p["r"] if usable else 0.0
     out = []
     for i in range(k):
         rest = [j for j in range(k) if j != i and varies[j]]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions.order_stats import (all_present, exact_quantiles, few_groups, is_number,
                                              per_group)
@@ -105,11 +106,30 @@ def uniformity(df: DataFrame, cols: Sequence[str] = ("customer_segment", "produc
     return counts.withColumn("pct", F.col("n") * 100 / whole).orderBy("column", F.desc("n"), "level")
 
 
+def missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+        return F.col(c).isNull() | F.isnan(c)
+    return F.col(c).isNull()
+
+
+def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows (column, value, n), one per distinct value of each column.
+
+    Values travel as text and combine map-side; a missing value is NULL.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"),
+                               F.when(~missing(df, c), F.col(c).cast("string")).alias("value")) for c in cols])
+    return (df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value")
+            .agg(F.count("*").alias("n")))
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Number of distinct values per column, missing values left out."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[count(F.col(c)).alias(c) for c in cols])
-    return wide.unpivot([], list(cols), "column", "distinct")
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+        return wide.unpivot([], list(cols), "column", "distinct")
+    return value_table(df, cols).groupBy("column").agg(F.count("value").alias("distinct"))
 
 
 # --- by category ------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import special as sp
+from tillscope.operators.metrics import value_table
 
 F_MIN, F_MAX = 1e-5, 2.0
 
@@ -32,8 +33,8 @@ def detectable_effects(df: DataFrame, cats: Sequence[str], alpha: float = 0.05,
 
     The facts are read once, for the row and level counts of all categories.
     """
-    wide = df.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(c) for c in cats])
-    sizes = (wide.unpivot(["n"], list(cats), "category", "k").where("k > 1 AND n > k")
+    sizes = (value_table(df, cats).groupBy(F.col("column").alias("category"))
+             .agg(F.sum("n").alias("n"), F.count("value").alias("k")).where("k > 1 AND n > k")
              .selectExpr("category", "n", "k", "k - 1 AS df1", "n - k AS df2"))
     return (sizes.withColumn("f_crit", F.expr(critical_f(alpha)))
             .withColumn("mde", F.expr(minimum_effect(target)))

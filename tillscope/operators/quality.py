@@ -6,19 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillscope.model import NUM_COLS, present
+from tillscope.operators.metrics import missing, value_table
 from tillscope.operators.pivots import agg_transpose
 
 
-def missing(df: DataFrame, c: str) -> Column:
-    """NULL, or NaN in a floating column."""
-    if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-        return F.col(c).isNull() | F.isnan(c)
-    return F.col(c).isNull()
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, counted exactly.
 
@@ -58,11 +51,11 @@ def dq_missing(raw: DataFrame) -> DataFrame:
 
 def dq_profile(raw: DataFrame) -> DataFrame:
     """Type, distinct values and missing values per column."""
-    types = dict(raw.dtypes)
-    wide = raw.agg(*[F.struct(F.lit(types[c]).alias("dtype"),
-                              F.count_distinct(F.when(~missing(raw, c), F.col(c))).alias("distinct"),
-                              F.count_if(missing(raw, c)).alias("missing")).alias(c) for c in raw.columns])
-    return wide.unpivot([], raw.columns, "column", "s").select("column", "s.*")
+    types = F.create_map(*[F.lit(x) for pair in raw.dtypes for x in pair])
+    return (value_table(raw, raw.columns).groupBy("column")
+            .agg(F.count("value").alias("distinct"),
+                 F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+            .select("column", types[F.col("column")].alias("dtype"), "distinct", "missing"))
 
 
 def dq_ranges(raw: DataFrame) -> DataFrame:

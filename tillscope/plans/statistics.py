@@ -28,7 +28,7 @@ def matrix_sql(source, names):
                               for a in names for b in names)
 
 
-add("corr_matrix_pearson", "x y r:6", lambda c: co.corr_matrix(c.df, NUM_COLS), matrix_sql("en", NUM_COLS))
+add("corr_matrix_pearson", "x y r:6", lambda c: co.corr_matrix(c.flat(*NUM_COLS), NUM_COLS), matrix_sql("en", NUM_COLS))
 add("corr_matrix_spearman", "x y r:6", lambda c: co.corr_matrix(c.flat(*NUM_COLS), NUM_COLS, "spearman"),
     "rk AS (SELECT " + ", ".join(
         f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS {x}" for x in NUM_COLS)
@@ -66,7 +66,7 @@ SELECT *, {sp.r_pvalue('raw_r', 'n', DUCK)} AS raw_p, {sp.r_pvalue('partial_r',
   abs(partial_r) > abs(raw_r) AS strengthens FROM t""")
 _CORR = ", ".join("[" + ", ".join(f"corr({a}, {b})" if a != b else "1.0::DOUBLE" for b in NUM_COLS) + "]" for a in NUM_COLS)
 _NAMES = ", ".join(f"'{x}'" for x in NUM_COLS)
-add("vif", "variable vif:4 flag", lambda c: co.vif(c.df, NUM_COLS),
+add("vif", "variable vif:4 flag", lambda c: co.vif(c.flat(*NUM_COLS), NUM_COLS),
     f"""sw(k, m) AS (SELECT 0, [{_CORR}] FROM en UNION ALL SELECT k + 1, list_transform(range(1, 9), lambda i: list_transform(
   range(1, 9), lambda j: CASE WHEN i = k + 1 AND j = k + 1 THEN -1 / m[k + 1][k + 1]
     WHEN i = k + 1 OR j = k + 1 THEN m[i][j] / m[k + 1][k + 1]
@@ -298,10 +298,10 @@ for _i in range(2, 12):
                f"\ne{_i} AS (SELECT * EXCLUDE (fc) REPLACE (fb AS fa, gb AS ga, fc AS fb, {pw.anova_power('fc', DUCK)} - 0.8 AS gb) FROM x{_i})")
 _SIZES += ",\nmd AS (SELECT *, fb AS mde FROM e11)"
 add("detectable_effects", "category n:l k:l f_crit:6 mde:6 mde_eta_squared:8",
-    lambda c: pw.detectable_effects(c.full, TEST_DIMS),
+    lambda c: pw.detectable_effects(c.flat(*TEST_DIMS), TEST_DIMS),
     _SIZES + "\n---\nSELECT *, mde * mde / (1 + mde * mde) AS mde_eta_squared FROM md")
 add("anova_power_table", "category n:l k:l mde:6 point:i cohens_f:6 power:6",
-    lambda c: pw.anova_power_table(c.full, TEST_DIMS),
+    lambda c: pw.anova_power_table(c.flat(*TEST_DIMS), TEST_DIMS),
     _SIZES + f""",
 gp AS (SELECT *, CAST(i AS INTEGER) AS point, 0.001 + (greatest(0.15, coalesce(2 * mde, 0.15)) - 0.001) * i / 99 AS cohens_f
   FROM md, range(100) AS r(i))
