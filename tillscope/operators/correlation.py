@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import special as sp
+from tillscope.functions.moments import corr, correlation
 from tillscope.functions.order_stats import average_rank, is_number, ranked_counts
+from tillscope.functions.staging import stage
 from tillscope.operators.group_tests import flag
 from tillscope.operators.metrics import stacked
 
@@ -28,7 +30,7 @@ def upper_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[at:at + PAIRS_PER_SCAN]
-        wide = df.selectExpr(*[f"struct('{x}' AS x, '{y}' AS y, corr(`{x}`, `{y}`) AS r) AS p{k}"
+        wide = df.selectExpr(*[f"struct('{x}' AS x, '{y}' AS y, {correlation(f'`{x}`', f'`{y}`')} AS r) AS p{k}"
                                for k, (x, y) in enumerate(chunk)])
         parts.append(wide.selectExpr(f"inline(array({', '.join(f'p{k}' for k in range(len(chunk)))}))"))
     out = parts[0]
@@ -46,13 +48,13 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace every column by the average rank of its values.
 
-    Ranks are found on the distinct values and joined back by value; a value
-    shared by many rows is one row of the rank table, and the fact side of a
-    skewed join is split by AQE.
+    Ranks are found on the distinct values, staged, and joined back by value; a
+    value shared by many rows is one row of the rank table, and the fact side
+    of a skewed join is split by AQE.
     """
     counts = stacked(df, cols).groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranks = (ranked_counts(counts, ["value"], ["n"], ["column"])
-             .select("column", "value", average_rank().alias("rank")))
+    ranks = stage(ranked_counts(counts, ["value"], ["n"], ["column"])
+                  .select("column", "value", average_rank().alias("rank")), "ranks")
     out = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     for c in cols:
         table = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
@@ -72,14 +74,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of two columns with its two-sided p-value."""
     rows = df.where(is_number(F.col(x)) & is_number(F.col(y)))
-    return flag(rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    return flag(rows.agg(F.count("*").alias("n"), corr(x, y).alias("r"))
                 .withColumn("p_value", F.expr(sp.r_pvalue("r", "n"))))
 
 
 def point_biserial(df: DataFrame, binary: str, cols: Sequence[str]) -> DataFrame:
     """Correlation of a 0/1 column with each numeric column, in one pass."""
     wide = df.agg(*[F.expr(f"struct(count(CASE WHEN `{c}` IS NOT NULL THEN `{binary}` END) AS n, "
-                           f"corr(`{binary}`, `{c}`) AS r)").alias(c) for c in cols])
+                           f"{correlation(f'`{binary}`', f'`{c}`')} AS r)").alias(c) for c in cols])
     return flag(wide.unpivot([], list(cols), "variable", "s").select("variable", "s.*")
                 .withColumn("p_value", F.expr(sp.r_pvalue("r", "n"))))
 
@@ -111,7 +113,7 @@ def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     The p-value of the partial correlation uses n − 2, as for a plain one.
     """
     rows = df.where(is_number(F.col(x)) & is_number(F.col(y)) & is_number(F.col(z)))
-    sums = rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("raw_r"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"))
+    sums = rows.agg(F.count("*").alias("n"), corr(x, y).alias("raw_r"), corr(x, z).alias("xz"), corr(y, z).alias("yz"))
     part = "try_divide(raw_r - xz * yz, sqrt((1 - xz * xz) * (1 - yz * yz)))"
     return (sums.withColumn("partial_r", F.expr(part))
             .withColumn("raw_p", F.expr(sp.r_pvalue("raw_r", "n")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import special as sp
+from tillscope.functions.moments import corr
 from tillscope.functions.order_stats import all_present, exact_quantiles, few_groups, is_number, per_group
 from tillscope.model import ALPHA
 from tillscope.operators.series import monthly_positions
@@ -136,7 +137,7 @@ def trend_test(df: DataFrame, by: str | None = None, min_months: int = 3) -> Dat
     fits = (monthly_positions(df, by).groupBy(*keys)
             .agg(F.count("*").alias("months"), F.regr_slope("revenue", F.col("idx")).alias("slope"),
                  F.regr_intercept("revenue", F.col("idx")).alias("intercept"),
-                 F.corr("revenue", "idx").alias("r")))
+                 corr("revenue", "idx").alias("r")))
     out = (fits.where(F.col("months") >= min_months).withColumn("r2", F.col("r") * F.col("r"))
            .withColumn("p_value", F.expr(sp.r_pvalue("r", "months"))))
     return flag(out.select(*keys, "months", "slope", "intercept", "r2", "p_value"))
