@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tillscope.operators import metrics, outliers, pivots, quality, rfm, sampling, series, slices
 from tillscope.operators.enrich import enrich
-from tillscope.sources.transactions import export_slice, read_transactions, shared_path
+from tillscope.functions.staging import shared_path
+from tillscope.sources.transactions import export_slice, read_transactions
 
 
 def day(n, month=1):

@@ -1,10 +1,27 @@
-"""Materialising an intermediate table that several passes read."""
+"""Materialising intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
 
-from tillscope.sources.transactions import shared_path
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session on one machine gets a temporary
+    folder, which is recorded in the session; on a cluster that is an error,
+    since executors could not see each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tillscope-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,8 @@ from tillscope.operators import sampling as smp
 from tillscope.operators import series as ts
 from tillscope.operators import slices as sl
 from tillscope.plans.catalog import Query
-from tillscope.sources.transactions import export_slice, read_transactions, shared_path
+from tillscope.functions.staging import shared_path
+from tillscope.sources.transactions import export_slice, read_transactions
 
 YEAR = ("1998-01-01", "1998-12-31")
 SLICE = dict(date_range=("1996-01-01", "1999-12-31"), age_range=(25, 55),

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,16 +36,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def export_slice(df: DataFrame, path: str) -> None:
     """Write ``df`` as CSV with a header, one file per partition."""
     df.write.mode("errorifexists").option("header", True).csv(path)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; where it does
-    not (a test on one machine) a temporary folder is used and recorded.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tillscope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
