@@ -4,14 +4,16 @@ from tillscope.llm.contamination import op7_edit_matches
 from tillscope.llm.credentials import op9_credential_links
 from tillscope.llm.language import op4_kneser_ney
 from tillscope.llm.mixing import op3_entropy_mix
+from tillscope.llm.ngram_trie import op5_elias_fano_trie
 from tillscope.llm.quality import op10_quality_rules
 from tillscope.llm.shards import op1_label_propagation
 from tillscope.llm.simhash import op6_simhash_golay
+from tillscope.llm.suffixes import op8_sparse_suffixes
 from tillscope.llm.token_files import op2_token_files
 
 QUERIES = {f.__name__: f for f in (
-    op1_label_propagation, op2_token_files, op3_entropy_mix, op4_kneser_ney, op6_simhash_golay, op7_edit_matches,
-    op9_credential_links, op10_quality_rules,
+    op1_label_propagation, op2_token_files, op3_entropy_mix, op4_kneser_ney, op5_elias_fano_trie,
+    op6_simhash_golay, op7_edit_matches, op8_sparse_suffixes, op9_credential_links, op10_quality_rules,
 )}
 
 #: None so far: learned models, graph steps, file round trips and hashes that SQL lacks; tests compare with plain Python.
