@@ -15,6 +15,7 @@ named by the committed index are read.
 
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ BLOCK = 1 << 16
 END = 1
 #: Distinct words whose ids a Python worker remembers before it starts anew.
 KNOWN_WORDS = 1_000_000
+#: A word of ASCII letters, with marks behind it that always are a token's start of their own.
+MARKS = ".,;:!?*$%&#"
+PLAIN = re.compile(f"([A-Za-z]+)([{re.escape(MARKS)}]*)")
 
 
 class Encoder:
@@ -46,21 +50,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(vocabulary), by_words
+        # where the vocabulary folds case and parts letters from marks, a plain word goes to its model without the steps before
+        t = self.tokenizer
+        self.plain = (t.normalizer is not None and t.normalizer.normalize_str("Ab") == "ab"
+                      and [x for x, _ in t.pre_tokenizer.pre_tokenize_str("ab" + MARKS)] == ["ab", MARKS])
         self.forget()
 
+    def ids_of(self, text: str) -> list[int]:
+        match = PLAIN.fullmatch(text) if self.plain else None
+        if not match:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        letters, marks = match.groups()
+        letters = letters.lower()
+        ids = self.parts.get(letters)
+        if ids is None:
+            ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        if marks:
+            if marks not in self.parts:
+                self.parts[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            ids = ids + self.parts[marks]
+        return ids
+
     def forget(self) -> None:
         self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used, self.parts = np.zeros(1 << 16, np.uint32), 0, {}
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         if len(self.hash) > KNOWN_WORDS:
             self.forget()
         size, flat = [], []
-        for lo in range(0, len(texts), 20_000):
-            for e in self.tokenizer.encode_batch_fast(texts[lo:lo + 20_000], add_special_tokens=False):
-                ids = e.ids
-                size.append(len(ids))
-                flat.extend(ids)
+        for text in texts:
+            ids = self.ids_of(text)
+            size.append(len(ids))
+            flat.extend(ids)
         size = np.array(size, np.int64)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(len(flat) + len(self.ids), np.uint32)])
