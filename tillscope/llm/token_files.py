@@ -31,7 +31,9 @@ from tillscope.llm.common import chunks, documents, opened, pack_bits, ragged, u
 BLOCK = 1 << 16
 END = 1
 #: Distinct words whose ids a Python worker remembers before it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 2_500_000
+#: Of these, the words without their marks that are kept as text.
+KNOWN_PARTS = 500_000
 #: A word of ASCII letters, with marks behind it that always are a token's start of their own.
 MARKS = ".,;:!?*$%&#"
 PLAIN = re.compile(f"([A-Za-z]+)([{re.escape(MARKS)}]*)")
@@ -64,6 +66,8 @@ class Encoder:
         letters = letters.lower()
         ids = self.parts.get(letters)
         if ids is None:
+            if len(self.parts) > KNOWN_PARTS:
+                self.parts = {}
             ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters)]
         if marks:
             if marks not in self.parts:
@@ -76,8 +80,6 @@ class Encoder:
         self.ids, self.used, self.parts = np.zeros(1 << 16, np.uint32), 0, {}
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.hash) > KNOWN_WORDS:
-            self.forget()
         size, flat = [], []
         for text in texts:
             ids = self.ids_of(text)
@@ -106,7 +108,7 @@ class Encoder:
         if len(new):
             if len(self.hash) > KNOWN_WORDS:
                 self.forget()
-                new = np.arange(len(distinct))
+                new = np.arange(len(distinct))  # all words of these texts, now that none is known
             raw, at = w.bytes_of(example[new])
             raw = raw.tobytes()
             self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
