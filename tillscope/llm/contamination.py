@@ -141,9 +141,9 @@ def blocks(benchmark: DataFrame, least: int = LEAST, size: int = BLOCK) -> Itera
         yield [(v, k) for k, v in block.items()]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, name: str = "matches", rate: float = RATE) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, name: str = "matches", rate: float = RATE, text: str = "text") -> DataFrame:
     """``docs`` with a column ``name``: all occurrences of items in the whole text."""
-    found = [finder(b, rate, docs.sparkSession)("text") for b in blocks(benchmark)]
+    found = [finder(b, rate, docs.sparkSession)(text) for b in blocks(benchmark)]
     if not found:
         return docs.withColumn(name, F.expr(f"cast(array() as {MATCHES})"))
     return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])

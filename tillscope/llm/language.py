@@ -226,14 +226,14 @@ def fit(docs: DataFrame, per_language: int = FIT_TEXTS):
     return packed, {"beta": float(beta), "limit": limit}
 
 
-def identify(docs: DataFrame, known: DataFrame, name: str = "found") -> DataFrame:
+def identify(docs: DataFrame, known: DataFrame, name: str = "found", text: str = "text") -> DataFrame:
     """``docs`` with a column ``name``: lang, score, entropy and far (rejected) of each whole text, learned from ``known``."""
     packed, calibration = fit(known)
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("far"))
     if packed is None:
         return docs.withColumn(name, und)
-    found = _udf(packed, calibration)("text")
-    return docs.withColumn("_found", found).withColumn(name, F.when(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)), F.col("_found")).otherwise(und)).drop("_found")
+    found = _udf(packed, calibration)(text)
+    return docs.withColumn(name, F.when(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)), found).otherwise(und))
 
 
 def op4_kneser_ney(spark, folder: str) -> DataFrame:

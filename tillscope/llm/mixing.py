@@ -114,10 +114,10 @@ def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
     return dealt.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it."""
+def mixed_rows(docs: DataFrame, inside: str = "") -> DataFrame:
+    """The documents, each as often as the mix takes it. ``inside`` is put before column names where these are fields of a struct."""
     keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    copies = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    copies = mix(keyed.select(F.col("_row").alias("doc_id"), F.col(f"{inside}source").alias("source"), F.col(f"{inside}text").alias("text"))).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
     rows = keyed.join(copies, F.col("_row") == F.col("_id"))
     return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
