@@ -56,7 +56,7 @@ def dual(cells: DataFrame, targets: DataFrame, most: float = MOST, tolerance: fl
     Newton steps of at most 1, kept inside the bracket found so far. ``full``
     marks sources whose every document has the highest rate.
     """
-    scale = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
+    scale = cells.groupBy("source").agg(F.greatest(F.sum(F.col("size") * F.col("n")) / F.sum("n"), F.lit(1e-9)).alias("scale"))  # above 0 for empty texts too
     state = targets.join(scale.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
         "source", "target", "scale", (F.col("target") >= most * F.col("total") * (1 - 1e-12)).alias("full"),
         F.coalesce(F.ln(F.col("target") / F.nullif("total", F.lit(0))), F.lit(0.0)).alias("lam"),
