@@ -193,3 +193,9 @@ def test_models_on_a_small_table(spark):
     assert regression.fit_quality(predictions).first().r2 == pytest.approx(out.lr_r2)
     importance = regression.forest_importance(df, key=["id"], trees=5, depth=6).collect()
     assert sum(r.importance for r in importance) == pytest.approx(1)
+
+
+def test_qq_line_runs_through_the_mean(spark):
+    rows = spark.createDataFrame([(float(v),) for v in range(100, 111)], "v double")
+    got = {r["position"]: r for r in normality.qq_points(rows, "v").collect()}
+    assert abs(got[6]["reference"] - 105) < 1e-6 and abs(got[6]["quantile"]) < 1e-9

@@ -105,11 +105,11 @@ def normality(df: DataFrame, value: str, seed: int = 42, key: Sequence[str] | No
 def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Every value in order against the normal median of its order statistic.
 
-    ``reference`` is the quantile scaled by the population deviation. Ties are
+    ``reference`` is the mean plus the quantile scaled by the population deviation. Ties are
     expanded from their counts in bounded chunks, spread over all tasks.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).where(is_number(F.col("v")))
-    totals = rows.agg(F.struct(F.count("*").cast("double").alias("n"), F.stddev_pop("v").alias("sd"))).scalar()
+    totals = rows.agg(F.struct(F.count("*").cast("double").alias("n"), F.stddev_pop("v").alias("sd"), F.avg("v").alias("mean"))).scalar()
     ranked = ranked_counts(rows.groupBy("v").agg(F.count("*").alias("n")), ["v"], ["n"])
     chunks = (ranked.selectExpr("v", "through_n - n + 1 AS first", "through_n AS last")
               .selectExpr("v", "last", f"explode(sequence(first, last, {POINTS_PER_TASK}L)) AS start")
@@ -119,7 +119,7 @@ def qq_points(df: DataFrame, value: str) -> DataFrame:
               "ELSE (position - 0.3175e0) / (t.n + 0.365e0) END")
     return (points.withColumn("t", totals).withColumn("p", F.expr(median))
             .withColumn("quantile", F.expr(sp.normal_quantile("p")))
-            .selectExpr("position", "quantile", "v AS value", "quantile * t.sd AS reference"))
+            .selectExpr("position", "quantile", "v AS value", "t.mean + quantile * t.sd AS reference"))
 
 
 def residual_shape(df: DataFrame, value: str) -> DataFrame:

@@ -88,12 +88,12 @@ add("residual_qq_points", "position:l quantile:6 value:1 reference:1",
     lambda c: nm.qq_points(staged_predictions(c), "residual"),
     OLS_SQL + f""",
 qp AS (SELECT residual AS value, row_number() OVER (ORDER BY residual) AS position, count(*) OVER ()::DOUBLE AS n,
-  stddev_pop(residual) OVER () AS sd FROM pr),
+  stddev_pop(residual) OVER () AS sd, avg(residual) OVER () AS mean FROM pr),
 qm AS (SELECT *, CASE WHEN position = n THEN power(0.5, 1 / n) WHEN position = 1 THEN 1 - power(0.5, 1 / n)
   ELSE (position - 0.3175) / (n + 0.365) END AS p FROM qp),
 qq AS (SELECT *, {sp.normal_quantile('p', DUCK)} AS quantile FROM qm)
 ---
-SELECT position, quantile, value, quantile * sd AS reference FROM qq""")
+SELECT position, quantile, value, mean + quantile * sd AS reference FROM qq""")
 add("revenue_models", "lr_r2:6 lr_mae:2 rf_r2:6 rf_mae:2 r2_gap:6 solved:b n_train:l n_test:l "
     "importance_product_price:6 importance_quantity:6 importance_discount_percentage:6",
     lambda c: rg.revenue_models(revenue(c), key=SAMPLE_KEYS))

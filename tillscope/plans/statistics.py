@@ -260,12 +260,12 @@ SELECT w_stat, {_P_SW} AS shapiro_p, zs * zs + zk * zk AS k2_stat, exp(-(zs * zs
   {_P_SW} < 0.05 OR exp(-(zs * zs + zk * zk) / 2) < 0.05 AS rejected FROM sz, kz""")
 add("qq_points", "position:l quantile:6 value:4 reference:4", lambda c: nm.qq_points(c.flat("final_price"), "final_price"),
     f"""qp AS (SELECT final_price AS value, row_number() OVER (ORDER BY final_price) AS position, count(*) OVER ()::DOUBLE AS n,
-  stddev_pop(final_price) OVER () AS sd FROM en),
+  stddev_pop(final_price) OVER () AS sd, avg(final_price) OVER () AS mean FROM en),
 qm AS (SELECT *, CASE WHEN position = n THEN power(0.5, 1 / n) WHEN position = 1 THEN 1 - power(0.5, 1 / n)
   ELSE (position - 0.3175) / (n + 0.365) END AS p FROM qp),
 qq AS (SELECT *, {sp.normal_quantile('p', DUCK)} AS quantile FROM qm)
 ---
-SELECT position, quantile, value, quantile * sd AS reference FROM qq""")
+SELECT position, quantile, value, mean + quantile * sd AS reference FROM qq""")
 
 # --- effect sizes and power -------------------------------------------------
 
