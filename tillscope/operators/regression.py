@@ -21,7 +21,7 @@ MIN_ROWS = 200
 
 def model_guard(df: DataFrame, label: str | None = None) -> DataFrame:
     """Whether a slice can be modelled: 200 rows and, for a class label, two classes."""
-    rows = df.limit(MIN_ROWS).agg(F.count("*")).scalar()
+    rows = df.agg(F.count("*")).scalar()
     classes = F.lit(2) if label is None else df.agg(F.count_distinct(label)).scalar()
     return (df.sparkSession.range(1).select(rows.alias("rows_seen"), classes.alias("classes"))
             .withColumn("ok", F.expr(f"rows_seen >= {MIN_ROWS} AND classes >= 2")))
