@@ -24,6 +24,31 @@ def test_tail_probabilities(spark, sql, expected):
     assert value(spark, sql) == pytest.approx(expected, abs=1e-5)
 
 
+@pytest.mark.parametrize("k", [30_000, 2_500_000, 10_000_000, 1_000_000_000])
+@pytest.mark.parametrize("z", [-3.0, -1e-3, 0.0, 0.5, 2.5])
+def test_upper_gamma_at_many_degrees_of_freedom(spark, k, z):
+    # cube-root normal approximation, whose error is far below 1e-6 at these sizes
+    x = k + z * math.sqrt(2 * k)
+    w = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    assert value(spark, sp.chi2_sf(sp.num(x), sp.num(k))) == pytest.approx(statistics.NormalDist().cdf(-w), abs=2e-6)
+
+
+def test_noncentral_f_where_the_first_weight_underflows(spark):
+    # with these many degrees of freedom the ratio is close to normal
+    d1, d2, ncp = 1e6, 1e9, 3536.0
+    mean, sd = (d1 + ncp) / d1, math.sqrt(2 * (d1 + 2 * ncp)) / d1
+    for z in (-1.0, 0.0, 1.5):
+        got = value(spark, sp.noncentral_f_cdf(sp.num(mean + z * sd), sp.num(d1), sp.num(d2), sp.num(ncp)))
+        assert got == pytest.approx(statistics.NormalDist().cdf(z), abs=1.5e-2)
+
+
+def test_equal_values_of_many_groups_spread_over_the_ranges(spark):
+    counts = spark.range(200_000).selectExpr("id % 2000 AS g", "id DIV 2000 AS v", "1L AS n")
+    sample = counts.selectExpr("struct(v) AS k").distinct().count()
+    ranks = ranked_counts(counts, ["v"], ["n"]).groupBy("v").agg(F.min("through_n").alias("t")).orderBy("v").collect()
+    assert sample == 100 and [r.t for r in ranks] == [2000 * (i + 1) for i in range(100)]
+
+
 def test_noncentral_f_agrees_with_the_central_one_and_with_simulation(spark):
     central = value(spark, sp.noncentral_f_cdf("3e0", "2", "20", "0e0"))
     assert central == pytest.approx(1 - value(spark, sp.f_sf("3e0", "2", "20")), abs=1e-12)

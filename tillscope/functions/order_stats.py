@@ -135,12 +135,13 @@ def ranked_counts(counts: DataFrame, order: Sequence[str], weights: Sequence[str
     For each weight ``w``: ``through_w`` is the total over all rows up to and
     including the row's peers (rows equal in ``order``) and ``peers_w`` the total
     over the peers. ``counts`` should be one row per value or key (pre-aggregated),
-    so that no key repeats without bound. ``within`` restarts the totals.
+    so that no key repeats without bound. ``within`` restarts the totals. The
+    sample is of distinct keys: a key that many rows share is one split.
     """
     within = list(within)
     keys = [f"`{c}`" for c in [*within, *order]]
     key = f"struct({', '.join(keys)})"
-    sample = (counts.selectExpr(f"{key} AS k").orderBy(F.xxhash64("k"), "k").limit(SPLITS)
+    sample = (counts.selectExpr(f"{key} AS k").distinct().orderBy(F.xxhash64("k"), "k").limit(SPLITS)
               .agg(F.expr("sort_array(collect_list(k)) AS s")))
     tagged = with_range(counts, key, sample.scalar())
 

@@ -6,39 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import average_rank, is_number, ranked_counts
-from tillscope.functions.staging import stage
-from tillscope.operators.regression import require
+from tillscope.functions.staging import spread, stage
+from tillscope.operators.regression import complete, require
 from tillscope.operators.sampling import extremes, split
 
 NUMERIC = ("age", "product_price", "quantity", "discount_percentage", "final_price", "delivery_days")
 CATEGORICAL = ("gender", "customer_segment", "product_category", "payment_method", "shipping_type")
 
 
-def encoder(cats: Sequence[str]) -> list:
-    """Indicator columns for every level but the alphabetically first."""
-    index = StringIndexer(inputCols=list(cats), outputCols=[f"_i_{c}" for c in cats], stringOrderType="alphabetDesc")
-    hot = OneHotEncoder(inputCols=[f"_i_{c}" for c in cats], outputCols=[f"_h_{c}" for c in cats], dropLast=True)
-    return [index, hot]
-
-
-def indicator_names(index_model, cats: Sequence[str]) -> list[str]:
-    return [f"{c}_{level}" for c, levels in zip(cats, index_model.labelsArray) for level in levels[:-1]]
+def indicators(df: DataFrame, cats: Sequence[str]) -> dict[str, Column]:
+    """Indicator by name for every level but the alphabetically first; a NULL has zeros only."""
+    index = StringIndexer(inputCols=list(cats), outputCols=[f"_i_{c}" for c in cats],
+                          stringOrderType="alphabetDesc", handleInvalid="keep").fit(df)
+    return {f"{c}_{level}": F.col(c).eqNullSafe(F.lit(level)) for c, levels in zip(cats, index.labelsArray) for level in levels[:-1]}
 
 
 def one_hot_counts(df: DataFrame, cats: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Rows per indicator column."""
-    model = Pipeline(stages=encoder(cats)).fit(df)
-    names = indicator_names(model.stages[0], cats)
-    hot = model.transform(df).select(F.concat(*[vector_to_array(f"_h_{c}") for c in cats]).alias("h"))
-    sums = hot.agg(*[F.sum(F.get("h", F.lit(i))).cast("long").alias(n) for i, n in enumerate(names)])
-    return sums.unpivot([], names, "feature", "ones")
+    hot = indicators(df, cats)
+    sums = df.agg(*[F.count_if(c).alias(f"_{i}") for i, c in enumerate(hot.values())])
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_{i}").alias("ones")) for i, n in enumerate(hot)])
+    return sums.select(F.inline(cells))
 
 
 def standardise(df: DataFrame, cols: Sequence[str], is_train: str = "NOT is_test") -> DataFrame:
@@ -58,23 +53,24 @@ def fit_returns(df: DataFrame, num: Sequence[str] = NUMERIC, cat: Sequence[str]
     """L2-penalised logistic model on standardised features.
 
     Returns the scored test rows (``label``, ``score``), the coefficient table
-    and the staged input. The penalty is 1 / n_train, that of C = 1.
+    and the staged input. The penalty is 1 / n_train, that of C = 1. Rows that
+    lack a number are left out on both sides; a missing level has zeros only.
     """
     require(df, label)
-    marked = split(df, 25, seed, key).where(F.col(label).isNotNull())
-    data = stage(marked.select(*num, *cat, F.col(label).cast("double").alias("label"), "is_test"), "return-model")
+    marked = complete(split(df, 25, seed, key), [*num, label])
+    data = stage(spread(marked.select(*num, *cat, F.col(label).cast("double").alias("label"), "is_test")), "return-model")
+    # levels are taken from all rows, as indicators are made before the split
+    hot = indicators(data, cat)
+    data = data.withColumns({f"_h_{i}": c.cast("double") for i, c in enumerate(hot.values())})
     train = data.where("NOT is_test")
     n = train.count()
-    parts = [*encoder(cat),
-             VectorAssembler(inputCols=[*num, *[f"_h_{c}" for c in cat]], outputCol="_raw", handleInvalid="skip"),
+    parts = [VectorAssembler(inputCols=[*num, *[f"_h_{i}" for i in range(len(hot))]], outputCol="_raw", handleInvalid="error"),
              StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)]
-    # levels are taken from all rows, as indicators are made before the split
-    indexer = parts[0].fit(data)
-    names = [*num, *indicator_names(indexer, cat)]
+    names = [*num, *hot]
     population = ElementwiseProduct(scalingVec=Vectors.dense([((n / (n - 1)) ** 0.5)] * len(names)),
                                     inputCol="_scaled", outputCol="features")
     logistic = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
-    model = Pipeline(stages=[indexer, *parts[1:], population, logistic]).fit(train)
+    model = Pipeline(stages=[*parts, population, logistic]).fit(train)
     scored = (model.transform(data.where("is_test"))
               .select(F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score")))
     pairs = list(zip(names, map(float, model.stages[-1].coefficients)))

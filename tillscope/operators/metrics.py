@@ -116,10 +116,15 @@ def missing(df: DataFrame, c: str) -> Column:
 def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows (column, value, n), one per distinct value of each column.
 
-    Values travel as text and combine map-side; a missing value is NULL.
+    Values travel as text and combine map-side; a missing value is NULL, and
+    minus zero is zero.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"),
-                               F.when(~missing(df, c), F.col(c).cast("string")).alias("value")) for c in cols])
+    def text(c):
+        kind = df.schema[c].dataType
+        plain = F.col(c) + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
+        return plain.cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.when(~missing(df, c), text(c)).alias("value")) for c in cols])
     return (df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.value")
             .agg(F.count("*").alias("n")))
 

@@ -10,8 +10,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.order_stats import quantiles_of
-from tillscope.functions.staging import stage
+from tillscope.functions.order_stats import is_number, quantiles_of
+from tillscope.functions.staging import spread, stage
 from tillscope.operators.group_tests import levene
 from tillscope.operators.sampling import split
 
@@ -32,22 +32,33 @@ def require(df: DataFrame, label: str | None = None) -> None:
         raise ValueError(f"needs at least {MIN_ROWS} rows" + (" and two classes" if label else ""))
 
 
+def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows with a value in all of the numeric ``cols``: those that a model can use, and that its sizes count."""
+    for c in cols:
+        df = df.where(is_number(F.col(c).cast("double")))
+    return df
+
+
 def prepared(df: DataFrame, features: Sequence[str], label: str, seed: int, key) -> DataFrame:
-    """Label, assembled features and side of the split, staged for repeated passes."""
-    marked = split(df, 25, seed, key).where(F.col(label).isNotNull())
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return stage(vectors.transform(marked).select("features", F.col(label).cast("double").alias("label"), "is_test"),
-                 "model-input")
+    """Label, assembled features and side of the split of the complete rows, staged for repeated passes."""
+    marked = complete(split(df, 25, seed, key), [*features, label])
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    rows = vectors.transform(marked).select("features", F.col(label).cast("double").alias("label"), "is_test")
+    return stage(spread(rows), "model-input")
 
 
 def fit_ols(train: DataFrame):
     return LinearRegression(solver="normal", regParam=0.0).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42):
-    """Bagged regression trees that try every feature at every split."""
+def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42, memory_mb: int = 1024):
+    """Bagged regression trees that try every feature at every split.
+
+    ``memory_mb`` bounds the statistics of the nodes that one pass splits: more
+    of it means fewer passes over the rows.
+    """
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=128,
-                                 maxMemoryInMB=256, seed=seed).fit(train)
+                                 maxMemoryInMB=memory_mb, cacheNodeIds=True, seed=seed).fit(train)
 
 
 def ols_coefficients(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",

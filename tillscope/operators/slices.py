@@ -25,25 +25,29 @@ def in_period(date: str, start, end) -> Column:
 
 
 def matches(age_range=None, choices: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Age range and in-lists; an empty list matches nothing, NULL never matches."""
-    cond = F.lit(True)
-    if age_range is not None:
-        cond = cond & F.col("age").between(*age_range)
+    """Age range and in-lists; an empty list matches nothing, NULL never matches.
+
+    No age range stands for the full span, which a missing age is outside of.
+    """
+    cond = F.col("age").isNotNull() if age_range is None else F.col("age").between(*age_range)
     for c, allowed in (choices or {}).items():
         cond = cond & F.col(c).isin(list(allowed))
     return cond
 
 
+def chosen(date_range=None, age_range=None, choices=None) -> Column:
+    if date_range is not None and len(date_range) == 2:
+        return in_period("order_date", *date_range) & matches(age_range, choices)
+    return F.col("order_date").isNotNull() & matches(age_range, choices)
+
+
 def slice_rows(df: DataFrame, date_range=None, age_range=None,
                choices: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows of the selected period, ages and categories.
 
-    A date range without two ends stands for the full span.
+    A date range without two ends stands for the full span; a missing date is in none.
     """
-    cond = matches(age_range, choices)
-    if date_range is not None and len(date_range) == 2:
-        cond = in_period("order_date", *date_range) & cond
-    return df.where(cond)
+    return df.where(chosen(date_range, age_range, choices))
 
 
 def previous_period(start, end) -> tuple[dt.date, dt.date]:
@@ -67,9 +71,7 @@ def filter_domains(df: DataFrame) -> DataFrame:
 
 def slice_counts(df: DataFrame, date_range=None, age_range=None, choices=None) -> DataFrame:
     """Rows in the slice and in the whole table, from one scan."""
-    cond = matches(age_range, choices)
-    if date_range is not None and len(date_range) == 2:
-        cond = in_period("order_date", *date_range) & cond
+    cond = chosen(date_range, age_range, choices)
     return df.agg(F.count_if(cond).alias("shown"), F.count("*").alias("total"))
 
 
