@@ -248,12 +248,16 @@ def noncentral_f_cdf(f: str, d1: str, d2: str, ncp: str, d: Spark = SPARK) -> st
     """P(F' ≤ f): Poisson mixture of incomplete betas, each from its neighbour.
 
     The sum starts at the mode of the Poisson weights and walks both ways for 12
-    of their standard deviations and 60 terms more, so nothing underflows.
+    of their standard deviations and 60 terms more, so nothing underflows. The
+    betas fall below rounding after ``last`` terms, so it starts there at most.
     """
-    given = d.record({"a": f"CAST(({d1}) AS DOUBLE) / 2e0 + floor(({ncp}) / 2e0)", "b": f"CAST(({d2}) AS DOUBLE) / 2e0",
+    mean = f"(({d1}) * ({f}) / 2e0)"
+    last = f"(60e0 + {mean} + 12e0 * sqrt({mean}))"
+    k = f"floor(least(({ncp}) / 2e0, {last}))"
+    given = d.record({"a": f"CAST(({d1}) AS DOUBLE) / 2e0 + {k}", "b": f"CAST(({d2}) AS DOUBLE) / 2e0",
                       "y": f"greatest(1e-300, ({d1}) * ({f}) / (({d2}) + ({d1}) * ({f})))", "yc": f"({d2}) / (({d2}) + ({d1}) * ({f}))",
-                      "l": f"CAST(({ncp}) AS DOUBLE) / 2e0", "k": f"CAST(floor(({ncp}) / 2e0) AS DOUBLE)"})
-    start = d.record({"a": "nc_.a", "b": "nc_.b", "y": "nc_.y", "l": "nc_.l", "k": "nc_.k",
+                      "l": f"CAST(({ncp}) AS DOUBLE) / 2e0", "k": f"CAST({k} AS DOUBLE)", "s": f"least({last}, 60e0 + 12e0 * sqrt(({ncp}) / 2e0))"})
+    start = d.record({"a": "nc_.a", "b": "nc_.b", "y": "nc_.y", "l": "nc_.l", "k": "nc_.k", "s": "nc_.s",
                       "i": beta_inc("nc_.a", "nc_.b", "nc_.y", "nc_.yc", d),
                       "t": f"exp(nc_.a * ln(nc_.y) + nc_.b * {log1m('nc_.y')} - {log_beta('nc_.a', 'nc_.b', d)}) / nc_.a",
                       "w": f"CASE WHEN nc_.l <= 0e0 THEN 1e0 ELSE exp(nc_.k * ln(nc_.l) - nc_.l - {log_gamma('(nc_.k + 1e0)')}) END"})
@@ -264,7 +268,7 @@ def noncentral_f_cdf(f: str, d1: str, d2: str, ncp: str, d: Spark = SPARK) -> st
         "v": "s_n.v + s_n.w * s_n.i + dn_.w * least(1e0, s_n.di + dn_.t)",
         "i": "greatest(0e0, s_n.i - s_n.t)", "t": "s_n.t * n0_.y * (n0_.a + n0_.b + m_n - 1e0) / (n0_.a + m_n)",
         "w": "s_n.w * n0_.l / (n0_.k + m_n)", "di": "least(1e0, s_n.di + dn_.t)", "dt": "dn_.t", "dw": "dn_.w"}))
-    total = d.fold("(60e0 + 12e0 * sqrt(n0_.l))", {"v": "0e0", "i": "n0_.i", "t": "n0_.t", "w": "n0_.w", "di": "n0_.i", "dt": "n0_.t", "dw": "n0_.w"},
+    total = d.fold("n0_.s", {"v": "0e0", "i": "n0_.i", "t": "n0_.t", "w": "n0_.w", "di": "n0_.i", "dt": "n0_.t", "dw": "n0_.w"},
                    "s_n", "m_n", step, "v")
     return d.let("nc_", given, d.let("n0_", start, f"least(1e0, {total})"))
 
