@@ -51,14 +51,14 @@ def fit_ols(train: DataFrame):
     return LinearRegression(solver="normal", regParam=0.0).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42, memory_mb: int = 1024):
+def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42, memory_mb: int = 256):
     """Bagged regression trees that try every feature at every split.
 
     ``memory_mb`` bounds the statistics of the nodes that one pass splits: more
-    of it means fewer passes over the rows.
+    of it means fewer passes over the rows, but every task that runs holds it.
     """
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=128,
-                                 maxMemoryInMB=memory_mb, cacheNodeIds=True, seed=seed).fit(train)
+                                 maxMemoryInMB=memory_mb, seed=seed).fit(train)
 
 
 def ols_coefficients(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
