@@ -178,28 +178,35 @@ def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list, nam
 def components(edges: DataFrame, save) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) can reach.
 
-    Alternates large-star and small-star steps until the edges stop changing;
-    each step is one aggregate and one join, and is written by ``save``.
+    Alternates large-star and small-star steps; each is one aggregate and one
+    join, and is written by ``save``. It ends where a large-star step changes
+    nothing and leaves each node one smaller neighbour: then that neighbour has
+    none itself, or the step would have moved the edge.
     """
     edges = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    mark = None
     while True:
+        mark = _mark(edges)
+        if not mark[0]:
+            break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = save(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.join(low, F.col("a") == F.col("n")).where("b > a").select(F.col("m").alias("a"), "b")
-        large = save(large.where("a <> b").distinct())
-        low = save(large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m")))
+        # at most one row for each edge, so repeated rows can wait for the small-star step
+        large = save(both.join(low, F.col("a") == F.col("n")).where("b > a and m <> b").select(F.col("m").alias("a"), "b"))
+        low = save(large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"), F.count("*").alias("rows")))
+        if low.agg(F.max("rows")).first()[0] == 1 and _mark(large) == mark:
+            break
         near = large.join(low, F.col("b") == F.col("n"))
         small = near.select(F.col("m").alias("a"), "b").union(near.select(F.col("m").alias("a"), F.col("a").alias("b")))
         edges = save(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     return star.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _mark(edges: DataFrame):
+    """Number of edges and the sum of their hashes: equal for equal edges."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def opened(uri: str):
     """(file system, path) of a path or URI in a folder that tasks share."""
     import pyarrow.fs as fs
