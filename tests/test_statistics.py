@@ -2,6 +2,7 @@ import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,13 @@ def test_qq_line_runs_through_the_mean(spark):
     rows = spark.createDataFrame([(float(v),) for v in range(100, 111)], "v double")
     got = {r["position"]: r for r in normality.qq_points(rows, "v").collect()}
     assert abs(got[6]["reference"] - 105) < 1e-6 and abs(got[6]["quantile"]) < 1e-9
+
+
+def test_spearman_ranks_present_values(spark):
+    rows = pd.DataFrame({"a": [3.0, 1.0, None, 1.0, 5.0, None, 0.0], "b": [2.0, None, 4.0, 4.0, 9.0, None, -1.0]})
+    ranks = rows.rank()
+    want = ranks.dropna()["a"].corr(ranks.dropna()["b"])
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), "a double, b double")
+    got = {(r.x, r.y): r.r for r in correlation.corr_matrix(df, ["a", "b"], "spearman").collect()}
+    assert got["a", "b"] == pytest.approx(want) and got["b", "a"] == pytest.approx(want)
+    assert got["a", "a"] == pytest.approx(1)

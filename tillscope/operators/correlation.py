@@ -46,20 +46,22 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace every column by the average rank of its values.
-
-    Ranks are found on the distinct values, staged, and joined back by value; a
-    value shared by many rows is one row of the rank table, and the fact side
-    of a skewed join is split by AQE.
+    """Replace every column by the average rank of its present values, and stage the result.
+
+    Rows get an id in a staged copy, so that it stays the same if a task is
+    run again. Cells meet the rank of their value in one join for all columns,
+    and return to rows in one aggregate by id. Ranks are found on the distinct
+    values: one shared by many rows is one row of the rank table, and the side
+    of the cells is split by AQE where it is skewed. Rows without any value are
+    left out.
     """
-    counts = stacked(df, cols).groupBy("column", "value").agg(F.count("*").alias("n"))
+    rows = stage(df.select(F.monotonically_increasing_id().alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]), "rows")
+    counts = stacked(rows, cols).groupBy("column", "value").agg(F.count("*").alias("n"))
     ranks = stage(ranked_counts(counts, ["value"], ["n"], ["column"])
                   .select("column", "value", average_rank().alias("rank")), "ranks")
-    out = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    for c in cols:
-        table = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        out = out.join(table, c, "left")
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
+    cells = stacked(rows, cols, ["_id"]).join(ranks, ["column", "value"])
+    back = cells.groupBy("_id").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in cols])
+    return stage(back.select(*cols), "ranked-rows")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
