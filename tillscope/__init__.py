@@ -1,5 +1 @@
 """tillscope: retail transaction analytics as Spark DataFrame operators."""
-
-from tillscope.model import RetailModel
-
-__all__ = ["RetailModel"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import types as T
 
 # --- fixed values: names and labels that results have to carry unchanged ----
@@ -22,14 +20,15 @@ PRICE_LABELS = ("Low", "Mid", "High", "Premium")
 VALUE_LABELS = {0: "Regular (bottom 90%)", 1: "High-Value (top 10%)"}
 RFM_TIERS = ((12, "Champions"), (9, "Loyal"), (6, "At Risk"), (None, "Lost"))
 FENCE_WIDTHS = (1.0, 1.5, 2.0, 2.5, 3.0)
+TEST_DIMS = ("gender", "customer_segment", "product_category", "payment_method", "shipping_type", "price_bucket",
+             "state", "city", "product_subcategory")
+REVENUE_FEATURES = ("product_price", "quantity", "discount_percentage")
+RETURN_NUMERIC = ("age", "product_price", "quantity", "discount_percentage", "final_price", "delivery_days")
+RETURN_CATEGORICAL = ("gender", "customer_segment", "product_category", "payment_method", "shipping_type")
 ALPHA = 0.05
 HIGH_VALUE_QUANTILE = 0.9
 # ----------------------------------------------------------------------------
 
-# The nine columns of the association tests: every category but the outcome,
-# then geography, then the finest product level.
-TEST_DIMS = tuple(c for c in CAT_COLS if c != "return_status") + GEO_COLS + ("product_subcategory",)
-
 RAW_SCHEMA = T.StructType([
     T.StructField("order_id", T.StringType()),
     T.StructField("customer_id", T.StringType()),
@@ -52,27 +51,6 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
-@dataclass(frozen=True)
-class RetailModel:
-    """Which column plays which role; defaults follow ``RAW_SCHEMA``."""
-
-    order: str = "order_id"
-    customer: str = "customer_id"
-    date: str = "order_date"
-    age: str = "age"
-    price: str = "product_price"
-    quantity: str = "quantity"
-    discount: str = "discount_percentage"
-    revenue: str = "final_price"
-    delivery: str = "delivery_days"
-    status: str = "return_status"
-    returned: str = "returned"
-    month: str = "order_month"
-
-
-MODEL = RetailModel()
-
-
 def present(df, names):
     """The given columns that ``df`` has, in the given order."""
     have = set(df.columns)

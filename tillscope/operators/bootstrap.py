@@ -41,22 +41,21 @@ def bootstrap_cramers_v(df: DataFrame, a: str, b: str = "return_status", n_boot:
 
 
 def resampled_v(seed: int, replicate: int, cells) -> float | None:
-    """Cramér's V of one multinomial redraw of the cell counts."""
-    if len(cells) == 0:
+    """Cramér's V of one multinomial redraw of the cell counts.
+
+    Over the cells alone: with row and column totals r and c, phi² is
+    Σ n² / (r · c) − 1, and cells that drew nothing add nothing.
+    """
+    held = np.array([c["n"] for c in cells], dtype=np.int64)
+    (rows, a), (cols, b) = (np.unique([c[k] for c in cells], return_inverse=True) for k in "ab")
+    free = min(len(rows), len(cols)) - 1
+    if free < 1:
         return None
-    counts = np.array([c["n"] for c in cells], dtype=np.int64)
-    rows = np.unique([c["a"] for c in cells], return_inverse=True)[1]
-    cols = np.unique([c["b"] for c in cells], return_inverse=True)[1]
-    shape = (rows.max() + 1, cols.max() + 1)
-    if min(shape) < 2:
-        return None
-    total = counts.sum()
-    rng = np.random.default_rng([seed, int(replicate)])
-    table = np.zeros(shape)
-    table[rows, cols] = rng.multinomial(total, counts / total)
-    expected = np.outer(table.sum(1), table.sum(0)) / total
-    chi2 = ((table - expected) ** 2 / np.where(expected == 0, 1, expected)).sum()
-    return float(np.sqrt(chi2 / (total * (min(shape) - 1))))
+    drawn = np.random.default_rng([seed, int(replicate)]).multinomial(held.sum(), held / held.sum()).astype(float)
+    some = drawn > 0
+    by_row, by_col = np.bincount(a, drawn), np.bincount(b, drawn)
+    phi2 = (drawn[some] ** 2 / (by_row[a[some]] * by_col[b[some]])).sum() - 1
+    return float(np.sqrt(max(phi2, 0.0) / free))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

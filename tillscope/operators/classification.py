@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import average_rank, is_number, ranked_counts
 from tillscope.functions.staging import spread, stage
+from tillscope.model import RETURN_CATEGORICAL as CATEGORICAL
+from tillscope.model import RETURN_NUMERIC as NUMERIC
 from tillscope.operators.regression import complete, require
 from tillscope.operators.sampling import extremes, split
 
-NUMERIC = ("age", "product_price", "quantity", "discount_percentage", "final_price", "delivery_days")
-CATEGORICAL = ("gender", "customer_segment", "product_category", "payment_method", "shipping_type")
-
 
 def indicators(df: DataFrame, cats: Sequence[str]) -> dict[str, Column]:
     """Indicator by name for every level but the alphabetically first; a NULL has zeros only."""

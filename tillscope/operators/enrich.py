@@ -17,11 +17,6 @@ def band(c: Column, bands) -> Column:
     return out
 
 
-def band_order(label: Column, labels) -> Column:
-    """Position of an ordered label, for sorting."""
-    return F.array_position(F.array(*[F.lit(x) for x in labels]), label).cast("int")
-
-
 def quantile_label(c: Column, edges: Column, labels) -> Column:
     """Label of the value bin of ``c`` between sorted inner ``edges``.
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import is_number, quantiles_of
 from tillscope.functions.staging import spread, stage
+from tillscope.model import REVENUE_FEATURES as FEATURES
 from tillscope.operators.group_tests import levene
 from tillscope.operators.sampling import split
 
-FEATURES = ("product_price", "quantity", "discount_percentage")
 MIN_ROWS = 200
 
 
