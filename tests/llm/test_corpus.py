@@ -186,6 +186,43 @@ def test_golay_keys_lose_no_link(spark):
     assert [got[f] for f in fps] == [fps[r] for r in want]
 
 
+def kept_of_alike(docs):
+    """Smallest id of each group linked by a Jaccard similarity of 5-word shingles of 0.8 or more."""
+    sets = {}
+    for i, t in docs.items():
+        w = words(t)
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, top = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            x, y = sets[a], sets[b]
+            if x == y or 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                p, q = root(a), root(b)
+                top[max(p, q)] = min(p, q)
+    return sorted({root(i) for i in ids})
+
+
+def test_near_duplicates_stage_links_all_at_four_fifths(spark, docs):
+    rng, base = np.random.default_rng(5), [f"w{k}" for k in range(400)]
+    texts = dict(docs.text.items())
+    common = [f"c{k}" for k in range(30)]
+    for n in range(60):  # copies with 0 to 11 words changed, and texts that share a passage only
+        w = list(base[:int(rng.integers(30, 400))] if n % 3 else base)
+        for k in rng.choice(len(w), int(rng.integers(0, 12)), replace=False):
+            w[k] = f"x{n}"
+        texts[10_000 + 2 * n] = " ".join(w)
+        texts[10_001 + 2 * n] = " ".join([*common, *(f"y{n}z{k}" for k in range(40))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, df, FOLDER)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == kept_of_alike(texts)
+
+
 def test_decontamination(spark, docs):
     items = pd.read_parquet(f"{FOLDER}/benchmark.parquet")
     want = {(i, k) for i, t in docs.text.items() for k, x in zip(items.item_id, items.text) if x.translate(LOWER) in t.translate(LOWER)}
