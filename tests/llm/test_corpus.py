@@ -125,6 +125,24 @@ def test_trie(spark, docs):
     assert got.score[got.held_out].sum() > got.base_score[got.held_out].sum() and (got.score < 0).all()
 
 
+def test_trie_holds_ngrams_seen_once(spark):
+    common.ship(spark)
+    trie = ngram_trie.fit(spark.createDataFrame([("a b c",), ("a b d",)], "text string"))
+    assert [sum(x[3].values()) for x in trie.levels] == [5, 4]  # ab bc bd c. d. and abc abd bc. bd.
+    base = {x: (n + 0.5) / (8 + 0.5 * 6) for x, n in {"a": 2, "b": 2, "c": 1, ".": 2}.items()}
+    ab = 2 / 3 + base["b"] / 3
+    bc, c_end = 1 / 4 + base["c"] / 2, 1 / 2 + base["."] / 2
+    want = math.log10(base["a"]) + math.log10(ab) + math.log10(1 / 4 + bc / 2) + math.log10(1 / 2 + c_end / 2)
+    got = ngram_trie.score(spark.createDataFrame([("a b c",)], "text string"), trie).first().lm.score
+    assert abs(got - want) < 4 * 2 / ngram_trie.STEPS
+
+
+def test_quantised_chances_stay_apart_and_never_above():
+    p = 10.0 ** -np.arange(0, 16.0)
+    q = 10.0 ** (ngram_trie._quantised(p) / -ngram_trie.STEPS)
+    assert (q <= p * (1 + 1e-6)).all() and (q > p * 0.9).all()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top in (3, 1000, 1 << 40):

@@ -2,7 +2,7 @@
 
 The first level is the sorted hashes of all training tokens with their counts.
 Each further level holds, for every n-gram of the level before as context, the
-tokens that follow it at least ``LEAST`` times: an Elias-Fano sequence of
+tokens that follow it at least ``LEAST`` times, which is all of them: an Elias-Fano sequence of
 pointers to where each context's successors begin, an Elias-Fano sequence of
 the successors themselves (made monotone by adding the last value of the
 context before), and quantised probabilities. Levels are split by ranges of
@@ -10,7 +10,7 @@ contexts into files of the shared folder, which tasks map into memory.
 
 Smoothing is Witten-Bell: with c(h) followers of a context, T(h) of them
 distinct, p(w | h) = c(hw) / (c(h) + T(h)) + g(h) p(w | shorter h), where g(h)
-takes what is left, including the followers seen less than ``LEAST`` times.
+takes what is left; followers seen less often than a higher ``least`` count here.
 The shortest context is the base distribution of single tokens. Quantising
 rounds down, so probabilities never sum to more than one. All counts cover all
 training documents.
@@ -31,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 from tillscope.functions.staging import shared_path, stage
 from tillscope.llm.common import Sorted, chunks, documents, in_shards, learns, load_arrays, save_arrays, shard_count, top_bits, words
 
-ORDER, LEAST = 3, 2
+ORDER, LEAST = 3, 1
 #: The end token's hash; a word has this hash with a chance of 2^-64.
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Steps of quantised probabilities and weights: this many for a factor of ten.
@@ -152,7 +152,7 @@ def _summed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(-np.log10(np.maximum(p, 1e-30)) * STEPS - 1e-9), 255).astype(np.uint8)
+    return np.minimum(np.ceil(-np.log10(np.maximum(p, 1e-30)) * STEPS - 1e-9), 65_535).astype(np.uint16)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
