@@ -1,15 +1,13 @@
-"""Repeated passages across documents, by a sparse suffix array.
+"""Repeated passages across documents, by hashes of windows at sparse suffixes.
 
 Suffixes are kept only where a 5-word gram is the least of ``SPAN``
 neighbouring ones, so any two equal passages keep the same suffixes, about one
-in ten. They are sorted by the hash of their first words, as many as every
-passage of ``LENGTH`` words still has after its kept place; neighbours that are
-equal there are found in the sorted order, and only their surroundings are
-looked at again: each is extended to the left and the right over all windows of
-``LENGTH`` words around it, and windows that occur in two documents are joined
-to maximal passages. Comparing windows, not just the two neighbours in suffix
-order, is what makes the extension to the left exact: the nearest suffix to the
-right need not be the one that agrees longest to the left.
+in ten. Of each the first words are hashed, as many as every passage of
+``LENGTH`` words still has after its kept place. Suffixes are not put in the
+order of their words: hashes that two documents have are looked up, and then
+those of all windows of ``LENGTH`` words around them; windows that occur in two
+documents are joined to maximal passages. Neighbours in suffix order would not
+do, as the nearest need not be the one that agrees longest to the left.
 
 The sorted arrays are files in the shared folder, split by ranges of the hash
 and mapped into memory; the whole texts are read three times and never moved.
