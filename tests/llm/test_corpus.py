@@ -267,6 +267,15 @@ def test_edit_matches_against_dynamic_programming():
         assert bool(got) == (best <= 3) and (not got or min(m[3] for m in got) == best)
 
 
+def test_short_items_match_exactly_at_word_borders(spark):
+    common.ship(spark)
+    texts = ["Is it Paris, then?", "comparison", "parisian", "Pariz", "paris", "", "what is\tC++? yes", "c++x", "abc c+", "x2 (c++)"]
+    items = spark.createDataFrame([(1, " Paris "), (2, "C++"), (3, " ")], "item_id long, text string")
+    got = rows_of(contamination.find_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items))
+    assert {r["doc_id"]: [(m["item_id"], m["start"], m["end"], m["distance"]) for m in r["matches"]] for r in got if r["matches"]} == {
+        0: [(1, 6, 11, 0)], 4: [(1, 0, 5, 0)], 6: [(2, 8, 11, 0)], 7: [(2, 0, 3, 0)], 9: [(2, 4, 7, 0)]}
+
+
 def test_repeated_passages(spark, docs):
     got = run(spark, "op8_sparse_suffixes")
     own, seen = {i: words(t) for i, t in docs.text.items()}, collections.defaultdict(set)

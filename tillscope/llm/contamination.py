@@ -7,8 +7,9 @@ and Myers' bit-parallel distance verifies the surroundings of each.
 
 Letters A-Z count as a-z and white space as blanks, so places are code points
 of the original text. Cases: null or empty texts have no match; items that are
-null, or shorter than ``LEAST`` code points without blanks at their ends, are
-not searched for, since they say nothing. Items with one text are each
+null or blank are not searched for; those shorter than ``LEAST`` code points
+without blanks at their ends match without edits and at word borders only:
+no letter or digit may go on before or after them. Items with one text are each
 reported. Items come to the driver in blocks of ``BLOCK``.
 """
 
@@ -34,6 +35,11 @@ def folded(text: str) -> str:
     return _FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-8", "surrogatepass")
 
 
+def bordered(text: str, start: int, end: int) -> bool:
+    """No word goes on before ``start`` or after ``end``."""
+    return not (text[start - 1:start + 1].isalnum() and start) and not (text[end - 1:end + 1].isalnum() and end < len(text))
+
+
 class Pattern:
     """Semi-global edit distance of one pattern; one machine word per text character, as Python's integers have any width."""
 
@@ -75,7 +81,7 @@ class Items:
 
         self.items, pieces = [], defaultdict(list)
         for ids, text in items:
-            k = int(len(text) * rate)
+            k = int(len(text) * rate) if len(text) >= LEAST else 0
             self.items.append((ids, text, k, Pattern(text), Pattern(text[::-1])))
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -95,6 +101,8 @@ class Items:
                     continue
                 tried.add((n, at))
                 ids, item, k, forward, backward = self.items[n]
+                if len(item) < LEAST and not bordered(text, at, last + 1):
+                    continue
                 low = max(0, at - k)
                 window = text[low:max(low, at + len(item) + k)]
                 distance, end = forward.best_end(window, k)
@@ -127,7 +135,7 @@ def finder(items: list[tuple[list[int], str]], rate: float, spark):
     return arrow_udf(found, MATCHES)
 
 
-def blocks(benchmark: DataFrame, least: int = LEAST, size: int = BLOCK) -> Iterator[list[tuple[list[int], str]]]:
+def blocks(benchmark: DataFrame, least: int = 1, size: int = BLOCK) -> Iterator[list[tuple[list[int], str]]]:
     """Distinct folded item texts with their ids, ``size`` at a time."""
     same = (benchmark.where("item_id is not null and text is not null").select("item_id", F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")).alias("text"))
             .where(F.length("text") >= least).groupBy("text").agg(F.sort_array(F.collect_set(F.col("item_id").cast("long"))).alias("ids")))
