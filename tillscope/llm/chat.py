@@ -76,17 +76,15 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     jump = stage(jump.select("tree", "node", "copy", F.col("_up").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n")), "jump")
     leaf = jump.select("tree", "node", "copy").join(jump.where("up is not null").select(F.col("tree").alias("_tree"), F.col("up").alias("_up")).distinct(),
                                                    same & (F.col("node") == F.col("_up")) & (F.col("copy") == 1), "left_anti")
-    jumps, size = [], None
-    while (pending := jump.where("up is not null")).limit(1).count():
-        size = jump.count() if size is None else size
-        if 2 ** len(jumps) >= size:  # longer than any path
-            break
+    jumps, size = [], jump.count()
+    pending, done = jump.where("up is not null"), jump.where("up is null")
+    while pending.limit(1).count() and 2 ** len(jumps) < size:  # beyond that, longer than any path
         jumps.append(pending.select("tree", "node", "copy", "up"))
-        there = jump.where("copy = 1").select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
-        far = jump.join(there, same & (F.col("up") == F.col("_node")), "left")
-        jump = stage(far.select("tree", "node", "copy", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                                (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "jump")
-    rooted = jump.where("up is null").select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("copy").alias("_copy"), "total", "n")
+        there = done.union(pending).where("copy = 1").select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
+        far = pending.join(there, same & (F.col("up") == F.col("_node")))  # one row for each: a parent is there
+        far = stage(far.select("tree", "node", "copy", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("n") + F.col("_n")).alias("n")), "jump")
+        pending, done = far.where("up is not null"), done.union(far.where("up is null"))
+    rooted = done.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("copy").alias("_copy"), "total", "n")
     message = same & (F.col("node") == F.col("_node")) & (F.col("copy") == F.col("_copy"))
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "node", "copy")
     path = leaf.join(rooted, message).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
@@ -103,7 +101,7 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 def chains(rows: DataFrame, key: str, turn: str) -> DataFrame:
     """Conversations without branches as messages: each row answers the one before it by (turn, role, text), null first."""
     rows = stage(rows.select(F.col(key).alias("tree"), F.col(turn).cast("long").alias("turn"), "role", "text"), "turns")
-    placed = rank_within(rows, ["tree"], F.floor(F.col("turn") / TURNS), [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")], "node")
+    placed = rank_within(rows, ["tree"], F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1 << 63)), [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")], "node")
     return placed.select("tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
