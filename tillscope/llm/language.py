@@ -29,6 +29,11 @@ KNOWN_WORDS = 400_000
 _STEP, _SEP = np.uint64(0x2545F4914F6CDD1D), 0xFFFF
 
 
+def clean(text: str) -> str:
+    """Text without the code point that ends words here, which is no character: the replacement character stands for it."""
+    return text.replace(chr(_SEP), "\ufffd")
+
+
 def _grams(text: str, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(place of predicted characters, depth of each, hashes of the 1- to order-grams that end at every character).
 
@@ -147,7 +152,7 @@ class Scorer:
                 ok[:] = False
             new = np.flatnonzero(~ok)
             raw, _ = w.bytes_of(example[new], gap=0x20)
-            costs, size = word_costs(self.model, raw.tobytes().decode().replace(chr(_SEP), " ").replace(" ", chr(_SEP)).lower()) if len(new) else (self.cost[:, :-1], [])
+            costs, size = word_costs(self.model, clean(raw.tobytes().decode()).replace(" ", chr(_SEP)).lower()) if len(new) else (self.cost[:, :-1], [])
             place = np.searchsorted(self.hash, distinct[new])
             self.hash = np.insert(self.hash, place, distinct[new])
             self.cost = np.insert(self.cost, place, np.column_stack([costs, size]), axis=0)
@@ -203,7 +208,7 @@ def fit(docs: DataFrame, per_language: int = FIT_TEXTS):
     word = F.explode(F.expr(f"regexp_extract_all(lower(text), r'{WORD}', 0)")).alias("word")
     counts: dict[str, dict[str, int]] = {lang: {} for lang in size}
     for lang, w, n in few.where("turn % 2 = 0 or turn = 1").select("lang", word).groupBy("lang", "word").count().toLocalIterator():
-        counts[lang][w.replace(chr(_SEP), "")] = n
+        counts[lang][clean(w)] = counts[lang].get(clean(w), 0) + n
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return None, None

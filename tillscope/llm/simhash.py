@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -164,6 +164,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, inside: str = "") -> DataFrame:
+    """The documents, less all but one of each group of near-duplicates: the one with the smallest id, null last.
+
+    Where several rows share that id, the one with the smallest hash of its
+    text stays, and of rows equal in both any one. ``inside`` is put before the
+    names of columns, where these are fields of a struct.
+    """
+    doc_id, text = F.col(f"{inside}doc_id"), f"{inside}text"
+    prints = stage(docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"), fingerprint(text).alias("fp")), "prints")
+    root = link(prints.select("fp").distinct()).withColumnRenamed("fp", "_fp")
+    first = (prints.join(root, F.col("fp") == F.col("_fp"))
+             .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("k")))
+    first = stage(first.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")), "first")
+    kept = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_doc", doc_id)
+    kept = kept.join(first, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    one = Window.partitionBy("_doc", "_hash").orderBy("_doc")
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_hash", "_doc")
+
+
 def op6_simhash_golay(spark, folder: str) -> DataFrame:
     out = near_duplicates(documents(spark, folder))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
