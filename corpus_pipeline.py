@@ -12,7 +12,7 @@ from tillscope.llm.common import documents, learns
 from tillscope.llm.contamination import find_items
 from tillscope.llm.language import identify
 from tillscope.llm.mixing import mixed_rows
-from tillscope.llm.shingles import one_of_each
+from tillscope.llm.simhash import one_of_each
 from tillscope.llm.token_files import read_tokens, write_tokens
 
 
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that shares four fifths of its 5-word shingles, from document to document."""
+    """Keep one document of each group whose fingerprints of 3-word shingles differ in 3 bits or fewer, from document to document."""
     return one_of_each(_rows(docs), "doc.").select("doc.*")
 
 
