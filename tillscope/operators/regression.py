@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import is_number, quantiles_of
 from tillscope.functions.staging import spread, stage
 from tillscope.model import REVENUE_FEATURES as FEATURES
+from tillscope.operators.forest import DEPTH, TREES, Forest, grow, importances, predicted
 from tillscope.operators.group_tests import levene
-from tillscope.operators.sampling import split
+from tillscope.operators.sampling import key_columns, split
 
 MIN_ROWS = 200
 
@@ -40,10 +40,11 @@ def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def prepared(df: DataFrame, features: Sequence[str], label: str, seed: int, key) -> DataFrame:
-    """Label, assembled features and side of the split of the complete rows, staged for repeated passes."""
-    marked = complete(split(df, 25, seed, key), [*features, label])
+    """Label, features, both as they are and assembled, key and side of the split of the complete rows, staged for repeated passes."""
+    marked = split(complete(df, [*features, label]), 25, seed, key)
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    rows = vectors.transform(marked).select("features", F.col(label).cast("double").alias("label"), "is_test")
+    names = [c for c in (key or key_columns(df)) if c not in features]
+    rows = vectors.transform(marked).select(*features, *names, "features", F.col(label).cast("double").alias("label"), "is_test")
     return stage(spread(rows), "model-input")
 
 
@@ -51,16 +52,6 @@ def fit_ols(train: DataFrame):
     return LinearRegression(solver="normal", regParam=0.0).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = 150, depth: int = 14, seed: int = 42, memory_mb: int = 256):
-    """Bagged regression trees that try every feature at every split.
-
-    ``memory_mb`` bounds the statistics of the nodes that one pass splits: more
-    of it means fewer passes over the rows, but every task that runs holds it.
-    """
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxBins=128,
-                                 maxMemoryInMB=memory_mb, seed=seed).fit(train)
-
-
 def ols_coefficients(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
                      seed: int = 42, key=None) -> DataFrame:
     """Coefficients of the linear baseline, the intercept as ``(intercept)``."""
@@ -80,12 +71,6 @@ def ols_predictions(df: DataFrame, features: Sequence[str] = FEATURES, label: st
                     (F.col("label") - F.col("prediction")).alias("residual")))
 
 
-def scores(model, test: DataFrame) -> tuple[float, float]:
-    """R² and mean absolute error on the test rows."""
-    predicted = model.transform(test)
-    return tuple(RegressionEvaluator(metricName=m).evaluate(predicted) for m in ("r2", "mae"))
-
-
 def fit_quality(predictions: DataFrame) -> DataFrame:
     """R² and mean absolute error of (actual, fitted) rows."""
     mean = predictions.agg(F.avg("actual")).scalar()
@@ -94,30 +79,55 @@ def fit_quality(predictions: DataFrame) -> DataFrame:
         F.avg(F.abs(F.col("actual") - F.col("fitted"))).alias("mae"), F.count("*").alias("n_test"))
 
 
+def fit_forest(data: DataFrame, features: Sequence[str], seed: int, key, trees: int = TREES, depth: int = DEPTH) -> Forest:
+    """Bagged regression trees that try every feature at every split, on the train rows of ``prepared``."""
+    return grow(data, features, "label", ~F.col("is_test"), seed, key, trees, depth)
+
+
+def forest_predictions(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
+                       seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Actual, fitted and residual value of every test row, by the forest."""
+    require(df)
+    key = key or key_columns(df)
+    data = prepared(df, features, label, seed, key)
+    return _fitted(fit_forest(data, features, seed, key, trees, depth), data)
+
+
+def _fitted(forest: Forest, data: DataFrame) -> DataFrame:
+    return (predicted(forest, data.where("is_test"))
+            .select(F.col("label").alias("actual"), "fitted", (F.col("label") - F.col("fitted")).alias("residual")))
+
+
 def revenue_models(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
-                   seed: int = 42, key=None, trees: int = 150, depth: int = 14) -> DataFrame:
+                   seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Linear baseline and random forest: R², MAE, sizes, the gap in R² and the
     forest's feature importances."""
     require(df)
+    key = key or key_columns(df)
     data = prepared(df, features, label, seed, key)
-    train, test = data.where("NOT is_test"), data.where("is_test")
-    lr_r2, lr_mae = scores(fit_ols(train), test)
-    forest = fit_forest(train, trees, depth, seed)
-    rf_r2, rf_mae = scores(forest, test)
-    importance = [F.lit(float(v)).alias(f"importance_{f}") for f, v in zip(features, forest.featureImportances.toArray())]
-    sizes = data.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))
-    return sizes.select(F.lit(lr_r2).alias("lr_r2"), F.lit(lr_mae).alias("lr_mae"), F.lit(rf_r2).alias("rf_r2"),
-                        F.lit(rf_mae).alias("rf_mae"), F.lit(rf_r2 - lr_r2).alias("r2_gap"),
-                        F.lit(rf_r2 > 0.99).alias("solved"), "n_train", "n_test", *importance)
+    model = fit_ols(data.where("NOT is_test"))
+    line = model.transform(data.where("is_test")).select(F.col("label").alias("actual"), F.col("prediction").alias("fitted"))
+    forest = fit_forest(data, features, seed, key, trees, depth)
+    share = {r["feature"]: r["importance"] for r in importances(forest).collect()}  # one row a feature
+    sizes = data.agg(F.struct(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"))).scalar()
+    line = fit_quality(line).agg(F.struct(F.first("r2").alias("r2"), F.first("mae").alias("mae"))).scalar()
+    trees_ = fit_quality(_fitted(forest, data)).select(F.col("r2").alias("rf_r2"), F.col("mae").alias("rf_mae"))
+    return (trees_.withColumn("line", line).withColumn("sizes", sizes)
+            .select(F.col("line.r2").alias("lr_r2"), F.col("line.mae").alias("lr_mae"), "rf_r2", "rf_mae",
+                    (F.col("rf_r2") - F.col("line.r2")).alias("r2_gap"), (F.col("rf_r2") > 0.99).alias("solved"), "sizes.n_train", "sizes.n_test",
+                    *[F.lit(float(share.get(i, 0.0))).alias(f"importance_{f}") for i, f in enumerate(features)]))
 
 
 def forest_importance(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
-                      seed: int = 42, key=None, trees: int = 150, depth: int = 14) -> DataFrame:
-    """Share of the impurity reduction per feature, ascending."""
+                      seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """Share of the error reduction per feature, ascending."""
     require(df)
-    model = fit_forest(prepared(df, features, label, seed, key).where("NOT is_test"), trees, depth, seed)
-    pairs = list(zip(features, map(float, model.featureImportances.toArray())))
-    return df.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy("importance")
+    key = key or key_columns(df)
+    found = importances(fit_forest(prepared(df, features, label, seed, key), features, seed, key, trees, depth))
+    names = F.array(*[F.lit(f) for f in features])
+    all_of = df.sparkSession.range(len(features)).select(F.col("id").cast("int").alias("_i"), F.get(names, F.col("id").cast("int")).alias("name"))
+    return (all_of.join(found, F.col("_i") == F.col("feature"), "left")
+            .select(F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance")).orderBy("importance"))
 
 
 def heteroscedasticity(predictions: DataFrame) -> DataFrame:

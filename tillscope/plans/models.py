@@ -29,8 +29,8 @@ def returns(c):
     return c.df.select(*KEYS, *cl.NUMERIC, *cl.CATEGORICAL, "returned")
 
 
-SPLIT_SQL = """sp AS (SELECT *, CAST('0x' || substr(md5('42|' || order_id || '|' || customer_id || '|' ||
-  CAST(order_date AS VARCHAR) || '|' || CAST(quantity AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 25 AS is_test FROM en)"""
+SPLIT_SQL = """sp AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || order_id || '|' || customer_id || '|' ||
+  CAST(order_date AS VARCHAR) || '|' || CAST(quantity AS VARCHAR))) <= ceil(count(*) OVER () * 0.25) AS is_test FROM en)"""
 OLS_SQL = SPLIT_SQL + """,
 tr AS (SELECT product_price AS a, CAST(quantity AS DOUBLE) AS b, discount_percentage AS c, final_price AS y FROM sp WHERE NOT is_test),
 cv AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, var_pop(a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac,
@@ -97,6 +97,7 @@ SELECT position, quantile, value, mean + quantile * sd AS reference FROM qq""")
 add("revenue_models", "lr_r2:6 lr_mae:2 rf_r2:6 rf_mae:2 r2_gap:6 solved:b n_train:l n_test:l "
     "importance_product_price:6 importance_quantity:6 importance_discount_percentage:6",
     lambda c: rg.revenue_models(revenue(c), key=SAMPLE_KEYS))
+add("forest_predictions", "actual:4 fitted:1 residual:1", lambda c: rg.forest_predictions(revenue(c), key=SAMPLE_KEYS))
 
 # --- returns ----------------------------------------------------------------
 

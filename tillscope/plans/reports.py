@@ -311,15 +311,33 @@ for _n, _seed in ((2000, 42), (3000, 42), (4000, 42), (5000, 42)):
             c.df.select("order_id", "customer_id", "order_date", "quantity", "product_price", "discount_percentage",
                         "final_price"), n, s, SAMPLE_KEYS),
         SAMPLE_SQL.format(seed=_seed, n=_n))
-add("split_sizes", "n_train:l n_test:l", lambda c: smp.split_sizes(smp.split(c.df, 25, 42, SAMPLE_KEYS)),
-    """SELECT count(*) FILTER (WHERE b >= 25) AS n_train, count(*) FILTER (WHERE b < 25) AS n_test FROM (SELECT
-  CAST('0x' || substr(md5('42|' || order_id || '|' || customer_id || '|' || CAST(order_date AS VARCHAR) || '|' ||
-  CAST(quantity AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS b FROM en)""")
-add("stratified_split_sizes", "returned:i n_train:l n_test:l",
-    lambda c: smp.split_sizes(smp.split(c.df, 25, 42, SAMPLE_KEYS), ["returned"]),
-    """SELECT returned, count(*) FILTER (WHERE b >= 25) AS n_train, count(*) FILTER (WHERE b < 25) AS n_test FROM (SELECT
-  returned, CAST('0x' || substr(md5('42|' || order_id || '|' || customer_id || '|' || CAST(order_date AS VARCHAR) || '|' ||
-  CAST(quantity AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS b FROM en) GROUP BY 1""")
+SPLIT_COLS = (*SAMPLE_KEYS, "returned")
+PLAIN_SQL = """dg AS (SELECT *, md5('42|' || order_id || '|' || customer_id || '|' || CAST(order_date AS VARCHAR) || '|' ||
+  CAST(quantity AS VARCHAR)) AS d FROM en),
+sp AS (SELECT *, row_number() OVER (ORDER BY d) <= ceil(count(*) OVER () * 0.25) AS is_test FROM dg)
+---
+"""
+CLASS_SQL = """dg AS (SELECT *, md5('42|' || order_id || '|' || customer_id || '|' || CAST(order_date AS VARCHAR) || '|' ||
+  CAST(quantity AS VARCHAR)) AS d FROM en),
+tl AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.25) AS BIGINT) AS t FROM dg),
+cl AS (SELECT returned, count(*) AS nc, count(*) * any_value(t) // any_value(n) AS whole, count(*) * any_value(t) % any_value(n) AS rest
+  FROM dg, (SELECT n, t FROM tl) GROUP BY 1),
+qt AS (SELECT returned, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, returned) <= (SELECT t FROM tl) - sum(whole) OVER () THEN 1 ELSE 0 END AS want FROM cl),
+sp AS (SELECT dg.*, row_number() OVER (PARTITION BY dg.returned ORDER BY d) <= want AS is_test FROM dg JOIN qt ON dg.returned = qt.returned)
+---
+"""
+SIDES = "count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test) AS n_test FROM sp"
+
+
+def sides(c, by=()):
+    return smp.split(c.df.select(*SPLIT_COLS), 25, 42, SAMPLE_KEYS, by)
+
+
+add("split_sizes", "n_train:l n_test:l", lambda c: smp.split_sizes(sides(c)), PLAIN_SQL + f"SELECT {SIDES}")
+add("split_rows", "order_id is_test:b", sides, PLAIN_SQL + "SELECT order_id, is_test FROM sp")
+add("stratified_split_sizes", "returned:i n_train:l n_test:l", lambda c: smp.split_sizes(sides(c, ["returned"]), ["returned"]),
+    CLASS_SQL + f"SELECT returned, {SIDES} GROUP BY 1")
+add("stratified_split_rows", "order_id is_test:b", lambda c: sides(c, ["returned"]), CLASS_SQL + "SELECT order_id, is_test FROM sp")
 
 # --- outliers ---------------------------------------------------------------
 
