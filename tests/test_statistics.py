@@ -235,3 +235,99 @@ def test_spearman_ranks_present_values(spark):
     got = {(r.x, r.y): r.r for r in correlation.corr_matrix(df, ["a", "b"], "spearman").collect()}
     assert got["a", "b"] == pytest.approx(want) and got["b", "a"] == pytest.approx(want)
     assert got["a", "a"] == pytest.approx(1)
+
+
+def test_multinomial_draws_have_the_moments_of_their_law(spark):
+    rng = np.random.default_rng(3)
+    n = np.concatenate([rng.integers(1, 5, 40), rng.integers(100, 5000, 10)])
+    sizes = np.bincount(np.arange(50) % 8, weights=n, minlength=8).astype(np.int64)
+    draws = np.zeros((50, 4000))
+    for bucket in range(8):
+        own = np.arange(50) % 8 == bucket
+        drawn = bootstrap.bucket_draws(sizes, bucket, 4000, 1)
+        for at, out in bootstrap.cell_draws(n[own], drawn, 1, bucket):
+            draws[np.flatnonzero(own)[at:at + len(out)]] = out
+    assert (draws.sum(0) == n.sum()).all()
+    p = n / n.sum()
+    sd = np.sqrt(n.sum() * p * (1 - p))
+    assert (np.abs(draws.mean(1) - n) < 5 * sd / np.sqrt(4000)).all()
+    assert (np.abs(draws.var(1) / sd ** 2 - 1) < 0.15).all()
+    cov = np.cov(draws[-2:])[0, 1]
+    assert cov == pytest.approx(-n.sum() * p[-1] * p[-2], rel=0.35)
+
+
+def test_cramers_v_redraws_do_not_depend_on_buckets_of_other_cells(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "CELLS_PER_BUCKET", 4)
+    rows = [(f"a{i % 9}", ("x", "y", "z", None)[(i * i) % 4]) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, return_status string").repartition(3)
+    cells = df.where("return_status is not null").groupBy(F.col("g").alias("a"), F.col("return_status").alias("b")).agg(F.count("*").alias("n"))
+    drawn = bootstrap.redrawn(cells, 20, 42)
+    again = bootstrap.redrawn(cells.repartition(7), 20, 42)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, again.collect()))
+    sums = {r["replicate"]: r["n"] for r in drawn.groupBy("replicate").agg(F.sum("n").alias("n")).collect()}
+    assert set(sums.values()) == {cells.agg(F.sum("n")).first()[0]} and len(sums) == 20
+    got = {r["replicate"]: r["value"] for r in bootstrap.bootstrap_cramers_v(df, "g", n_boot=20).collect()}
+    table = drawn.toPandas().pivot_table(index=["replicate", "a"], columns="b", values="n", fill_value=0)
+    for r in range(20):
+        t = table.loc[r].to_numpy(float)
+        expected = np.outer(t.sum(1), t.sum(0)) / t.sum()
+        chi2 = ((t - expected) ** 2 / np.where(expected == 0, 1, expected)).sum()
+        free = min(cells.select("a").distinct().count(), cells.select("b").distinct().count()) - 1
+        assert got[r] == pytest.approx(np.sqrt(chi2 / t.sum() / free), rel=1e-9)
+
+
+@pytest.mark.parametrize("copies", [1, 3, 33, 500, 10 ** 6, 10 ** 9])
+def test_poisson_draws_by_one_rule_for_all_counts(copies):
+    h = bootstrap.mix(np.arange(1, 301, dtype=np.uint64))
+    w = bootstrap.poisson_weights(h, np.full(300, copies), 100).ravel()
+    assert abs(w.mean() - copies) < 5 * np.sqrt(copies / len(w)) and w.var() == pytest.approx(copies, rel=0.05)
+    assert w.min() >= 0 and (w == np.floor(w)).all()
+
+
+@pytest.mark.parametrize("m, n", [(1, 1), (1, 5), (2, 3), (4, 4), (5, 3), (7, 5), (8, 4), (8, 8)])
+def test_exact_rank_tests_equal_enumeration(m, n):
+    import itertools
+
+    from tillscope.functions.small_samples import ks_exact, mann_whitney_exact
+
+    h, u = [], []
+    for chosen in itertools.combinations(range(m + n), m):
+        i = j = most = pairs = 0
+        for k in range(m + n):
+            if k in chosen:
+                i, pairs = i + 1, pairs + j
+            else:
+                j += 1
+            most = max(most, abs(i * n - j * m))
+        h.append(most)
+        u.append(pairs)
+    h, u = np.array(h), np.array(u)
+    for k in {0, 1, *h.tolist(), m * n + 1}:
+        assert ks_exact(m, n, k) == pytest.approx((h >= k).mean(), abs=1e-12)
+    for k in range(m * n + 1):
+        assert mann_whitney_exact(m, n, k) == pytest.approx(min(1, 2 * min((u <= k).mean(), (u >= k).mean())), abs=1e-12)
+
+
+def test_exact_and_limiting_p_values_on_both_sides_of_the_switch(spark):
+    def frame(a, b):
+        return spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b], "g string, v double")
+
+    from tillscope.functions.small_samples import ks_exact, mann_whitney_exact
+
+    rng = np.random.default_rng(2)
+    a, b = rng.permutation(1000)[:8], 2000 + rng.permutation(1000)[:30] - rng.integers(0, 2, 30) * 2000 + 0.5
+    u = sum((y < x) for x in a for y in b)
+    got = rank_tests.mann_whitney(frame(a, b), "g", "a", "b", "v").first()
+    assert got["u_stat"] == u and got["p_value"] == pytest.approx(mann_whitney_exact(8, 30, u), rel=1e-12)
+    nine = rank_tests.mann_whitney(frame([*a, 1e6], b), "g", "a", "b", "v").first()["p_value"]
+    tied = rank_tests.mann_whitney(frame([*a[:7], b[0]], b), "g", "a", "b", "v").first()
+    for p, (m, n) in ((nine, (9, 30)), (tied["p_value"], (8, 30))):
+        assert p is not None
+    z = max(0, abs(tied["u_stat"] - 120) - 0.5) / np.sqrt(240 / 12 * (39 - 6 / (38 * 37)))
+    assert tied["p_value"] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+    both = rank_tests.ks_2samp(frame([1, 2, 2, 5], [2, 3, 7]), "g", "a", "b", "v").first()
+    assert both["p_value"] == pytest.approx(ks_exact(4, 3, round(both["d_stat"] * 12)), rel=1e-12)
+    big = spark.range(10_001).selectExpr("'a' as g", "cast(id as double) as v").union(spark.range(50).selectExpr("'b' as g", "cast(id * 200 as double) as v"))
+    long = rank_tests.ks_2samp(big, "g", "a", "b", "v").first()
+    short = rank_tests.ks_2samp(big.where("v < 10000 or g = 'b'"), "g", "a", "b", "v").first()
+    assert long["n_a"] == 10_001 and short["n_a"] == 10_000 and long["p_value"] == pytest.approx(short["p_value"], abs=0.02)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import special as sp
+from tillscope.functions.small_samples import ks_p, mann_whitney_p
 from tillscope.functions.order_stats import all_present, average_rank, is_number, ranked_counts
 from tillscope.operators.group_tests import flag
 
@@ -40,30 +41,38 @@ def two_sides(df: DataFrame, by: str, a: str, b: str, value: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, by: str, a: str, b: str, value: str = "final_price") -> DataFrame:
-    """U of group ``a`` and the two-sided normal p with tie and continuity correction."""
+    """U of group ``a`` and its two-sided p.
+
+    Exact where a group has 8 rows or fewer and no values tie, else the normal
+    one with tie and continuity correction.
+    """
     ranked = ranked_counts(two_sides(df, by, a, b, value), ["v"], ["n"]).withColumn("rank", average_rank())
     sums = ranked.agg(F.expr("CAST(sum(na) AS DOUBLE) AS a"), F.expr("CAST(sum(nb) AS DOUBLE) AS b"),
                       F.expr("sum(na * rank) AS ra"), F.expr("sum(power(CAST(n AS DOUBLE), 3) - n) AS ties"))
-    return flag(sums.where("a > 0 AND b > 0")
-                .selectExpr("CAST(a AS BIGINT) AS n_a", "CAST(b AS BIGINT) AS n_b", "ra - a * (a + 1) / 2 AS u_stat",
-                            "a * b / 2 AS mu", "sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS sd")
-                .withColumn("z", F.expr("try_divide(greatest(0D, abs(u_stat - mu) - 0.5D), sd)"))
-                .withColumn("p_value", F.expr(sp.normal_two_sided("z")))
-                .select("n_a", "n_b", "u_stat", "p_value"))
+    told = (sums.where("a > 0 AND b > 0")
+            .selectExpr("CAST(a AS BIGINT) AS n_a", "CAST(b AS BIGINT) AS n_b", "ra - a * (a + 1) / 2 AS u_stat", "ties",
+                        "a * b / 2 AS mu", "sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) AS sd")
+            .withColumn("z", F.expr("try_divide(greatest(0D, abs(u_stat - mu) - 0.5D), sd)")))
+    exact = F.when(F.col("ties") == 0, mann_whitney_p(F.col("n_a"), F.col("n_b"), F.col("u_stat")))
+    return flag(told.withColumn("p_value", F.coalesce(exact, F.expr(sp.normal_two_sided("z")))).select("n_a", "n_b", "u_stat", "p_value"))
 
 
 def ks_2samp(df: DataFrame, by: str, a: str, b: str, value: str = "final_price") -> DataFrame:
-    """Largest distance of the two distribution functions and its asymptotic p.
+    """Largest distance of the two distribution functions and its p.
 
-    The limiting distribution is evaluated at (√m + 0.12 + 0.11/√m)·D with m the
-    effective sample size.
+    Exact for groups of at most 10,000 rows, taking all orders of the rows as
+    equally likely. Beyond that, the limiting distribution is evaluated at
+    (√m + 0.12 + 0.11/√m)·D with m the effective sample size.
     """
     ranked = ranked_counts(two_sides(df, by, a, b, value), ["v"], ["na", "nb"])
     totals = two_sides(df, by, a, b, value).agg(F.struct(F.sum("na").alias("a"), F.sum("nb").alias("b"))).scalar()
     out = (ranked.withColumn("t", totals).where("t.a > 0 AND t.b > 0")
            .agg(F.expr("max(t.a) AS n_a"), F.expr("max(t.b) AS n_b"),
-                F.expr("max(abs(through_na / t.a - through_nb / t.b)) AS d_stat"))
+                F.expr("max(abs(through_na / t.a - through_nb / t.b)) AS d_stat"),
+                F.expr("max(abs(CAST(through_na AS DECIMAL(19,0)) * t.b - CAST(through_nb AS DECIMAL(19,0)) * t.a)) AS h"))
            .where("n_a IS NOT NULL")
-           .withColumn("m", F.expr("sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b))"))
-           .withColumn("p_value", F.expr(sp.kolmogorov_sf("(m + 0.12D + 0.11D / m) * d_stat"))))
-    return flag(out.select("n_a", "n_b", "d_stat", "p_value"))
+           .withColumn("m", F.expr("sqrt(CAST(n_a AS DOUBLE) * n_b / (n_a + n_b))")))
+    # of whole numbers below 2^53 where it is used
+    exact = ks_p(F.col("n_a"), F.col("n_b"), F.col("h").cast("double"))
+    limit = F.expr(sp.kolmogorov_sf("(m + 0.12D + 0.11D / m) * d_stat"))
+    return flag(out.withColumn("p_value", F.coalesce(exact, limit)).select("n_a", "n_b", "d_stat", "p_value"))

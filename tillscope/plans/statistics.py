@@ -220,14 +220,25 @@ t AS (SELECT a AS n_a, b AS n_b, ra - a * (a + 1) / 2 AS u_stat, greatest(0, abs
 ---
 SELECT *, {_P_MW} AS p_value, {_P_MW} < 0.05 AS significant FROM t""")
     _p_ks = sp.kolmogorov_sf("((sqrt(n_a * n_b / (n_a + n_b)) + 0.12 + 0.11 / sqrt(n_a * n_b / (n_a + n_b))) * d_stat)", DUCK)
-    add(f"ks_2samp_{_value}", "n_a:l n_b:l d_stat:6 p_value:6 significant:b",
-        lambda c, v=_value: rk.ks_2samp(c.flat("product_category", v), "product_category", GROUP_A, GROUP_B, v),
-        f"""vc AS (SELECT {_value} AS v, count(*) FILTER (WHERE product_category = '{GROUP_A}') AS a,
-  count(*) FILTER (WHERE product_category = '{GROUP_B}') AS b FROM en WHERE product_category IN ('{GROUP_A}', '{GROUP_B}') GROUP BY 1),
-cu AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER ()::DOUBLE AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER ()::DOUBLE AS fb FROM vc),
-t AS (SELECT (SELECT sum(a) FROM vc)::DOUBLE AS n_a, (SELECT sum(b) FROM vc)::DOUBLE AS n_b, max(abs(fa - fb)) AS d_stat FROM cu)
+    for _name, _a, _b in ((f"ks_2samp_{_value}", GROUP_A, GROUP_B), (f"ks_2samp_{_value}_promo_small", "PROMO", "SMALL")):
+        # up to 10,000 rows a side: the share of orders that reach the distance, by diagonals of a band
+        add(_name, "n_a:l n_b:l d_stat:6 p_value:6 significant:b",
+            lambda c, v=_value, a=_a, b=_b: rk.ks_2samp(c.flat("product_category", v), "product_category", a, b, v),
+            f"""vc AS (SELECT {_value} AS v, count(*) FILTER (WHERE product_category = '{_a}') AS a,
+  count(*) FILTER (WHERE product_category = '{_b}') AS b FROM en WHERE product_category IN ('{_a}', '{_b}') GROUP BY 1),
+cu AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM vc),
+t AS (SELECT any_value(ta)::DOUBLE AS n_a, any_value(tb)::DOUBLE AS n_b, max(abs(ca / ta::DOUBLE - cb / tb::DOUBLE)) AS d_stat,
+  max(abs(ca * tb - cb * ta))::DOUBLE AS h FROM cu),
+dg AS (SELECT 0::BIGINT AS s, 0::BIGINT AS lo, [0.0::DOUBLE] AS v UNION ALL
+  SELECT s + 1, first, list_transform(range(first, last + 1), lambda i: least(1.0, greatest(0.0,
+    (CASE WHEN i - 1 BETWEEN lo AND lo + len(v) - 1 THEN v[i - lo] ELSE 1.0 END) * i / (s + 1) +
+    (CASE WHEN i BETWEEN lo AND lo + len(v) - 1 THEN v[i - lo + 1] ELSE 1.0 END) * (s + 1 - i) / (s + 1))))
+  FROM (SELECT s, lo, v, floor(((s + 1) * n_a - h) / (n_a + n_b))::BIGINT + 1 AS first, ceil(((s + 1) * n_a + h) / (n_a + n_b))::BIGINT - 1 AS last
+    FROM dg, t WHERE s < n_a + n_b AND greatest(n_a, n_b) <= 10000 AND h > 0)),
+pv AS (SELECT CASE WHEN h = 0 THEN 1.0 WHEN greatest(n_a, n_b) <= 10000
+  THEN coalesce((SELECT v[n_a::BIGINT - lo + 1] FROM dg WHERE s = n_a + n_b), 1.0) ELSE {_p_ks} END AS p_value, n_a, n_b, d_stat FROM t)
 ---
-SELECT *, {_p_ks} AS p_value, {_p_ks} < 0.05 AS significant FROM t""")
+SELECT n_a, n_b, d_stat, p_value, p_value < 0.05 AS significant FROM pv""")
 
 # --- normality --------------------------------------------------------------
 
