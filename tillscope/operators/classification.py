@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +14,13 @@ from tillscope.functions.order_stats import average_rank, is_number, ranked_coun
 from tillscope.functions.staging import spread, stage
 from tillscope.model import RETURN_CATEGORICAL as CATEGORICAL
 from tillscope.model import RETURN_NUMERIC as NUMERIC
+from tillscope.operators.pivots import levels_of
 from tillscope.operators.regression import complete, require
 from tillscope.operators.sampling import extremes, split
 
+#: Features of a model, rows that are worked on at a time, and the gradient at which a fit ends.
+MOST_FEATURES, BLOCK, GRADIENT = 1_000, 4_096, 1e-8
+
 
 def indicators(df: DataFrame, cats: Sequence[str]) -> dict[str, Column]:
     """Indicator by name for every level but the alphabetically first; a NULL has zeros only."""
@@ -47,32 +49,120 @@ def standardise(df: DataFrame, cols: Sequence[str], is_train: str = "NOT is_test
     return scaled.withColumns({c: (F.col(c) - F.col(f"_fit.{c}.m")) / F.col(f"_fit.{c}.s") for c in cols}).drop("_fit")
 
 
+def encoded(df: DataFrame, num: Sequence[str], cat: Sequence[str], levels: dict[str, list[str]]) -> DataFrame:
+    """``num`` as an array of doubles, ``cat`` as an array of level numbers: 0 for the first level and for a NULL."""
+    def code(c: str) -> Column:
+        numbers = [x for k, level in enumerate(levels[c]) for x in (F.lit(level), F.lit(k))]
+        return F.coalesce(F.try_element_at(F.create_map(*numbers), F.col(c)), F.lit(0)) if numbers else F.lit(0)
+
+    codes = F.array(*[code(c) for c in cat]) if cat else F.array().cast("array<int>")
+    return df.withColumns({"num": F.array(*[F.col(c).cast("double") for c in num]), "codes": codes})
+
+
+def design(table: pa.RecordBatch, sizes: Sequence[int], centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows of the standardised features with a one in front. ``sizes``: levels of each coded column but the first."""
+    n = table.num_rows
+    parts = [table["num"].flatten().to_numpy().reshape(n, -1)]
+    codes = table["codes"].flatten().to_numpy().reshape(n, -1) if sizes else np.zeros((n, 0), int)
+    for j, size in enumerate(sizes):
+        parts.append((codes[:, j, None] == np.arange(1, size + 1)).astype(np.float64))
+    return np.column_stack([np.ones(n), (np.concatenate(parts, axis=1) - centre) / scale])
+
+
+def newton_sums(train: DataFrame, sizes: Sequence[int], centre: np.ndarray, scale: np.ndarray, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-likelihood, its gradient, Xᵀ W X) at ``beta``, one aggregate over the train rows.
+
+    Each task adds up its own rows; its sums travel as one number per entry.
+    """
+    p = len(beta)
+    upper = np.triu_indices(p)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + p + len(upper[0]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(at, BLOCK)
+                x, y = design(block, sizes, centre, scale), block["label"].to_numpy()
+                z = x @ beta
+                mu = 1 / (1 + np.exp(-np.abs(z)))
+                mu = np.where(z >= 0, mu, 1 - mu)
+                square = (x * (mu * (1 - mu))[:, None]).T @ x
+                total += np.concatenate([[(y * z - np.logaddexp(0, z)).sum()], x.T @ (y - mu), square[upper]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["entry", "value"])
+
+    rows = train.select("num", "codes", "label").mapInArrow(add, "entry bigint, value double").groupBy("entry").agg(F.sum("value").alias("value"))
+    total = np.zeros(1 + p + len(upper[0]))
+    for r in rows.collect():  # one row an entry: bounded by the square of MOST_FEATURES
+        total[r["entry"]] = r["value"]
+    square = np.zeros((p, p))
+    square[upper] = total[1 + p:]
+    return total[0], total[1:1 + p], square + np.triu(square, 1).T
+
+
+def newton_logistic(train: DataFrame, sizes: Sequence[int], centre: np.ndarray, scale: np.ndarray, max_iter: int = 100) -> np.ndarray:
+    """Intercept and coefficients that maximise the log-likelihood less half the squared coefficients.
+
+    Newton steps, halved where they would lower it, until the gradient is below
+    ``GRADIENT`` or what rounding leaves of it.
+    """
+    p = len(centre) + 1
+    penalty = np.ones(p)
+    penalty[0] = 0
+    value = lambda told, b: told[0] - 0.5 * (penalty * b * b).sum()
+    beta = np.zeros(p)
+    told = newton_sums(train, sizes, centre, scale, beta)
+    for _ in range(max_iter):
+        slope = told[1] - penalty * beta
+        if np.abs(slope).max() < GRADIENT:
+            break
+        step = np.linalg.solve(told[2] + np.diag(penalty), slope)
+        if np.abs(step).max() < 1e-13 * max(1.0, np.abs(beta).max()):
+            break
+        for _ in range(30):
+            after = newton_sums(train, sizes, centre, scale, beta + step)
+            if value(after, beta + step) >= value(told, beta) - 1e-12 * abs(value(told, beta)):
+                break
+            step = step / 2
+        beta, told = beta + step, after
+    return beta
+
+
 def fit_returns(df: DataFrame, num: Sequence[str] = NUMERIC, cat: Sequence[str] = CATEGORICAL,
-                label: str = "returned", seed: int = 42, key=None, max_iter: int = 1000):
-    """L2-penalised logistic model on standardised features.
+                label: str = "returned", seed: int = 42, key=None, max_iter: int = 100):
+    """L2-penalised logistic model on standardised features, on a split stratified by the label.
 
     Returns the scored test rows (``label``, ``score``), the coefficient table
-    and the staged input. The penalty is 1 / n_train, that of C = 1. Rows that
-    lack a number are left out on both sides; a missing level has zeros only.
+    and the staged input. The penalty is half the squared coefficients, that of
+    C = 1. Rows that lack a number are left out on both sides; a missing level
+    has zeros only. More than ``MOST_FEATURES`` features are an error.
     """
     require(df, label)
-    marked = complete(split(df, 25, seed, key), [*num, label])
-    data = stage(spread(marked.select(*num, *cat, F.col(label).cast("double").alias("label"), "is_test")), "return-model")
+    marked = split(complete(df, [*num, label]), 25, seed, key, [label])
     # levels are taken from all rows, as indicators are made before the split
-    hot = indicators(data, cat)
-    data = data.withColumns({f"_h_{i}": c.cast("double") for i, c in enumerate(hot.values())})
-    train = data.where("NOT is_test")
-    n = train.count()
-    parts = [VectorAssembler(inputCols=[*num, *[f"_h_{i}" for i in range(len(hot))]], outputCol="_raw", handleInvalid="error"),
-             StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)]
-    names = [*num, *hot]
-    population = ElementwiseProduct(scalingVec=Vectors.dense([((n / (n - 1)) ** 0.5)] * len(names)),
-                                    inputCol="_scaled", outputCol="features")
-    logistic = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6)
-    model = Pipeline(stages=[*parts, population, logistic]).fit(train)
-    scored = (model.transform(data.where("is_test"))
-              .select(F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score")))
-    pairs = list(zip(names, map(float, model.stages[-1].coefficients)))
+    levels = {c: levels_of(marked, c) for c in cat}
+    names = [*num, *[f"{c}_{level}" for c in cat for level in levels[c][1:]]]
+    if len(names) > MOST_FEATURES:
+        raise ValueError(f"{len(names)} features are more than {MOST_FEATURES}")
+    data = encoded(marked, num, cat, levels).select("num", "codes", F.col(label).cast("double").alias("label"), "is_test")
+    data = stage(spread(data), "return-model")
+    train, sizes = data.where("NOT is_test"), [max(0, len(levels[c]) - 1) for c in cat]
+    moments = train.agg(F.count("*").alias("n"), *[f(F.col("num")[i]).alias(f"{k}{i}") for i in range(len(num)) for k, f in (("m", F.avg), ("s", F.stddev_pop))],
+                        *[F.count_if(F.col("codes")[j] == k).alias(f"c{j}_{k}") for j, size in enumerate(sizes) for k in range(1, size + 1)]).first()
+    shares = np.array([moments[f"c{j}_{k}"] / moments["n"] for j, size in enumerate(sizes) for k in range(1, size + 1)])
+    centre = np.concatenate([[moments[f"m{i}"] for i in range(len(num))], shares])
+    scale = np.concatenate([[moments[f"s{i}"] for i in range(len(num))], np.sqrt(shares * (1 - shares))])
+    scale[scale == 0] = 1.0
+    beta = newton_logistic(train, sizes, centre, scale, max_iter)
+    weight = beta[1:] / scale
+    terms = [F.col("num")[i] * float(w) for i, w in enumerate(weight[:len(num)])]
+    at = len(num)
+    for j, size in enumerate(sizes):
+        if size:
+            terms.append(F.array(*[F.lit(x) for x in [0.0, *map(float, weight[at:at + size])]])[F.col("codes")[j]])
+        at += size
+    z = sum(terms, F.lit(float(beta[0] - (weight * centre).sum())))
+    scored = data.where("is_test").select(F.col("label").cast("int").alias("label"), (1 / (1 + F.exp(-z))).alias("score"))
+    pairs = list(zip(names, map(float, beta[1:])))
     weights = df.sparkSession.createDataFrame(pairs, "feature string, coef double").orderBy("coef")
     return scored, weights, data
 

@@ -103,7 +103,7 @@ def chi2_independence(df: DataFrame, a: str, b: str = "return_status", yates: bo
 def uniform_table(df: DataFrame, by: str) -> DataFrame:
     """Observed and expected counts per level under an even split."""
     counts = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("level")).agg(F.count("*").alias("observed"))
-    return (counts.withColumn("expected", F.expr("sum(observed) OVER () / count(*) OVER ()"))
+    return (counts.withColumn("expected", counts.agg(F.expr("sum(observed) / count(*)")).scalar())
             .withColumn("deviation_pct", F.expr("(observed - expected) / expected * 100")).orderBy("level"))
 
 

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from tillscope.functions.order_stats import all_present
 
 
+#: Levels that may become columns; Spark's own limit for a pivot.
+MOST_LEVELS = 10_000
+
+
 def levels_of(df: DataFrame, col: str) -> list[str]:
-    """Sorted levels of a column, needed to name the columns of a pivot."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().collect()
+    """Sorted levels of a column, needed to name columns; more than ``MOST_LEVELS`` are an error."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(rows) > MOST_LEVELS:
+        raise ValueError(f"{col} has more than {MOST_LEVELS} levels")
     return sorted(r[0] for r in rows)
 
 

@@ -74,6 +74,12 @@ def dq_sanity(raw: DataFrame) -> DataFrame:
 
 
 def dq_columns(raw: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Which of the expected columns the table has."""
-    found = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in raw.columns).alias("present")) for c in names])
-    return raw.sparkSession.range(1).select(F.inline(found))
+    """Which of the expected columns the table has, with their values and, of those, distinct ones.
+
+    One aggregate over the columns that are there; absent ones have zeros.
+    """
+    have = present(raw, names)
+    counts = raw.agg(*[F.struct(F.count(c).alias("values"), F.count_distinct(c).alias("levels")).alias(c) for c in have])
+    none = F.struct(F.lit(0).cast("long").alias("values"), F.lit(0).cast("long").alias("levels"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), (F.col(f"`{c}`") if c in have else none).alias("s")) for c in names])
+    return counts.select(F.explode(cells).alias("x")).select("x.column", "x.present", "x.s.values", "x.s.levels")

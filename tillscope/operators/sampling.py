@@ -101,7 +101,10 @@ def split_sizes(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def extremes(df: DataFrame, value: str, name: str, k: int = 8) -> DataFrame:
-    """The ``k`` lowest and ``k`` highest rows, each row once, in ascending order."""
+    """The ``k`` lowest and ``k`` highest rows, each value once, in ascending order; of equal values the first name stays."""
     low = df.orderBy(value, name).limit(k)
     high = df.orderBy(F.desc(value), F.desc(name)).limit(k)
-    return low.unionByName(high).dropDuplicates([name]).orderBy(value, name)
+    both = low.unionByName(high)
+    rest = [c for c in df.columns if c not in (value, name)]
+    first = both.groupBy(value).agg(F.min(F.struct(name, *rest)).alias("_x")) if rest else both.groupBy(value).agg(F.min(name).alias(name))
+    return (first.select(value, "_x.*") if rest else first).select(*df.columns).orderBy(value, name)

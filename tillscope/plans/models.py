@@ -111,16 +111,75 @@ add("standardise", "order_id age:6 product_price:6 quantity:6 final_price:6",
     SPLIT_SQL + "\n---\nSELECT order_id, " + ", ".join(
         f"({x} - (SELECT avg({x}) FROM sp WHERE NOT is_test)) / (SELECT stddev_pop({x}) FROM sp WHERE NOT is_test) AS {x}"
         for x in ("age", "product_price", "quantity", "final_price")) + " FROM sp WHERE is_test")
-add("logistic_coefficients", "feature coef:6", lambda c: cl.fit_returns(returns(c), key=KEYS)[1])
+#: Levels of the categorical columns in the test tables, in the order of ``cl.CATEGORICAL``.
+LEVELS = (2, 5, 6, 5, 2)
+NEWTON_STEPS = 8
+
+
+def logistic_sql() -> str:
+    """CTEs of the fitted model: Newton steps one after another, each solved by elimination over a list of lists.
+
+    ``nm``: feature names in order, ``bt``: the coefficients, ``sc``: scored test rows.
+    """
+    names = [f"'{c}'" for c in cl.NUMERIC] + [f"'{c}_' || lv.{c}[{k}]" for c, n in zip(cl.CATEGORICAL, LEVELS) for k in range(2, n + 1)]
+    raw = [f"CAST(sp.{c} AS DOUBLE)" for c in cl.NUMERIC] + [f"CAST(sp.{c} = lv.{c}[{k}] AS INTEGER)::DOUBLE" for c, n in zip(cl.CATEGORICAL, LEVELS) for k in range(2, n + 1)]
+    p = len(raw) + 1
+    every = range(p)
+    levels = ", ".join(f"(SELECT list_sort(list(DISTINCT {c})) FROM sp) AS {c}" for c in cl.CATEGORICAL)
+    parts = [f"""dg AS (SELECT *, md5('42|' || order_id || '|' || customer_id || '|' || CAST(order_date AS VARCHAR)) AS d FROM en),
+tl AS (SELECT count(*) AS n, CAST(ceil(count(*) * 0.25) AS BIGINT) AS t FROM dg),
+cc AS (SELECT returned, count(*) * any_value(t) // any_value(n) AS whole, count(*) * any_value(t) % any_value(n) AS rest
+  FROM dg, (SELECT n, t FROM tl) GROUP BY 1),
+qt AS (SELECT returned, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, returned) <= (SELECT t FROM tl) - sum(whole) OVER () THEN 1 ELSE 0 END AS want FROM cc),
+sp AS (SELECT dg.*, row_number() OVER (PARTITION BY dg.returned ORDER BY d) <= want AS is_test FROM dg JOIN qt ON dg.returned = qt.returned),
+lv AS (SELECT {levels}),
+nm AS (SELECT [{', '.join(names)}] AS names FROM lv),
+rw AS MATERIALIZED (SELECT is_test, returned::DOUBLE AS y, {', '.join(f'{r} AS r{i + 1}' for i, r in enumerate(raw))} FROM sp, lv),
+mo AS MATERIALIZED (SELECT {', '.join(f'avg(r{i}) AS m{i}, coalesce(nullif(stddev_pop(r{i}), 0), 1) AS s{i}' for i in every[1:])} FROM rw WHERE NOT is_test),
+xx AS MATERIALIZED (SELECT is_test, y, 1.0::DOUBLE AS x0, {', '.join(f'(r{i} - m{i}) / s{i} AS x{i}' for i in every[1:])} FROM rw, mo),
+b0 AS (SELECT {', '.join(f'0.0::DOUBLE AS b{i}' for i in every)})"""]
+    for k in range(1, NEWTON_STEPS + 1):
+        z = " + ".join(f"x{i} * b{i}" for i in every)
+        entry = lambda i, j: f"sum(w * x{min(i, j)} * x{max(i, j)})"
+        rows = ", ".join("[" + ", ".join([entry(i, j) + (" + 1" if i == j and i else "") for j in every] + [f"sum((y - q) * x{i})" + (f" - any_value(b{i})" if i else "")]) + "]" for i in every)
+        parts.append(f"""z{k} AS (SELECT xx.*, b{k - 1}.*, 1 / (1 + exp(-({z}))) AS q FROM xx, b{k - 1} WHERE NOT is_test),
+g{k} AS MATERIALIZED (SELECT [{rows}] AS m FROM (SELECT *, q * (1 - q) AS w FROM z{k})),
+e{k} AS (SELECT 1 AS k, m FROM g{k} UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN r
+  ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END) FROM e{k} WHERE k <= {p}),
+b{k} AS MATERIALIZED (SELECT {', '.join(f'b{i} + m[{i + 1}][{p + 1}] / m[{i + 1}][{i + 1}] AS b{i}' for i in every)} FROM e{k}, b{k - 1} WHERE k = {p + 1})""")
+    z = " + ".join(f"x{i} * b{i}" for i in every)
+    parts.append(f"""bt AS MATERIALIZED (SELECT * FROM b{NEWTON_STEPS}),
+wt AS (SELECT unnest(names) AS feature, unnest([{', '.join(f'b{i}' for i in every[1:])}]) AS coef FROM nm, bt),
+sc AS (SELECT y, 1 / (1 + exp(-({z}))) AS s FROM xx, bt WHERE is_test)""")
+    return ",\n".join(parts)
+
+
+LOGISTIC_SQL = logistic_sql()
+add("logistic_coefficients", "feature coef:6", lambda c: cl.fit_returns(returns(c), key=KEYS)[1],
+    LOGISTIC_SQL + "\n---\nSELECT feature, coef FROM wt")
 add("return_model", "auc:6 accuracy:6 precision:6 recall:6 n_train:l n_test:l base_rate:6 near_chance:b",
-    lambda c: cl.return_model(returns(c), key=KEYS))
-add("coef_extremes", "feature coef:6", lambda c: cl.coef_extremes(returns(c), key=KEYS))
+    lambda c: cl.return_model(returns(c), key=KEYS),
+    LOGISTIC_SQL + """,
+rr AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM sc),
+ac AS (SELECT (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM rr),
+oc AS (SELECT count(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp,
+  count(*) FILTER (WHERE y = 1 AND s < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND s < 0.5) AS tn FROM sc)
+---
+SELECT auc, (tp + tn) / (tp + tn + fp + fn)::DOUBLE AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS recall, (SELECT count(*) FROM xx WHERE NOT is_test) AS n_train,
+  (SELECT count(*) FROM xx WHERE is_test) AS n_test, (SELECT avg(y) FROM xx) AS base_rate, auc < 0.6 AS near_chance FROM ac, oc""")
+add("coef_extremes", "feature coef:6", lambda c: cl.coef_extremes(returns(c), key=KEYS),
+    LOGISTIC_SQL + """,
+ex AS (SELECT * FROM (SELECT * FROM wt ORDER BY coef, feature LIMIT 8) UNION SELECT * FROM (SELECT * FROM wt ORDER BY coef DESC, feature DESC LIMIT 8))
+---
+SELECT min(feature) AS feature, coef FROM ex GROUP BY coef""")
 add("extremes_by_subcategory", "product_subcategory n:l",
     lambda c: extremes(c.df.groupBy("product_subcategory").count().withColumnRenamed("count", "n"), "n", "product_subcategory"),
-    """x AS (SELECT product_subcategory, count(*) AS n FROM en GROUP BY 1)
+    """x AS (SELECT product_subcategory, count(*) AS n FROM en GROUP BY 1),
+ex AS (SELECT * FROM (SELECT * FROM x ORDER BY n, product_subcategory LIMIT 8) UNION
+  SELECT * FROM (SELECT * FROM x ORDER BY n DESC, product_subcategory DESC LIMIT 8))
 ---
-SELECT * FROM (SELECT * FROM x ORDER BY n, product_subcategory LIMIT 8) UNION
-SELECT * FROM (SELECT * FROM x ORDER BY n DESC, product_subcategory DESC LIMIT 8)""")
+SELECT min(product_subcategory) AS product_subcategory, n FROM ex GROUP BY n""")
 
 # measures of a score that SQL can rebuild: discount or price as the score
 add("roc_auc", "positives:l negatives:l auc:6", lambda c: cl.roc_auc(c.flat("returned", "final_price"), "returned", "final_price"),

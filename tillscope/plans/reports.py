@@ -60,11 +60,11 @@ for _col, _src in {
     add(f"enrich_{_col.partition(':')[0]}", f"order_id customer_id {_src} {_col}",
         lambda c, x=_col: c.full if x in ("high_value:i", "price_bucket") else c.df, "SELECT * FROM en")
 
-add("schema_discovery", "column present:b",
-    lambda c: dq.dq_columns(c.raw, NUM_COLS + ("customer_id", "cust_id")),
-    "SELECT * FROM (VALUES ('age', true), ('product_price', true), ('quantity', true), ('discount_percentage', true),"
-    " ('final_price', true), ('delivery_days', true), ('revenue_per_unit', false), ('discount_impact', false),"
-    " ('customer_id', true), ('cust_id', false)) AS t(\"column\", present)")
+_WANTED = NUM_COLS + ("customer_id", "cust_id")
+_ABSENT = ("revenue_per_unit", "discount_impact", "cust_id")
+add("schema_discovery", "column present:b values:l levels:l", lambda c: dq.dq_columns(c.raw, _WANTED),
+    " UNION ALL ".join(f"SELECT '{x}' AS \"column\", false AS present, 0 AS \"values\", 0 AS levels" if x in _ABSENT else
+                       f"SELECT '{x}', true, count({x}), count(DISTINCT {x}) FROM tx" for x in sorted(_WANTED, key=lambda x: x not in _ABSENT)))
 
 # --- slices and KPIs --------------------------------------------------------
 
