@@ -147,3 +147,30 @@ def test_poisson_copies_have_their_chances(spark):
     for k in range(5):
         assert got[k] == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.005)
     assert row_digest(["id"], 42) is not None
+
+
+def test_logistic_coefficients_equal_plain_newton(spark, tx):
+    from tillscope.operators import classification
+
+    rng = np.random.default_rng(9)
+    n = 900
+    age, level = rng.integers(18, 70, n), rng.integers(0, 3, n)
+    y = rng.random(n) < 1 / (1 + np.exp(-(0.08 * (age - 40) + (level == 2) - 0.5)))
+    df = tx(*[dict(order_id=f"o{k}", age=int(age[k]), customer_segment=None if k % 50 == 0 else "ABC"[level[k]], delivery_days=7.0, return_status="Yes" if y[k] else "No") for k in range(n)])
+    df = df.withColumn("returned", (F.col("return_status") == "Yes").cast("int")).repartition(4)
+    scored, weights, data = classification.fit_returns(df, ["age", "delivery_days"], ["customer_segment", "gender"], key=["order_id"])
+    test = {r["order_id"] for r in sampling.split(df, key=["order_id"], by=["returned"]).where("is_test").select("order_id").collect()}
+    x = np.column_stack([age, np.full(n, 7.0), *(((level == k) & (np.arange(n) % 50 != 0)) for k in (1, 2))]).astype(float)
+    train = np.array([f"o{k}" not in test for k in range(n)])
+    m, s = x[train].mean(0), x[train].std(0)
+    z = np.column_stack([np.ones(n), (x - m) / np.where(s == 0, 1, s)])
+    beta = np.zeros(5)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z[train] @ beta))
+        g = z[train].T @ (y[train] - p) - [0, *beta[1:]]
+        beta += np.linalg.solve((z[train] * (p * (1 - p))[:, None]).T @ z[train] + np.diag([0, 1, 1, 1, 1]), g)
+    assert np.abs(g).max() < 1e-8
+    got = {r["feature"]: r["coef"] for r in weights.collect()}
+    assert got == pytest.approx(dict(zip(["age", "delivery_days", "customer_segment_B", "customer_segment_C"], beta[1:])), abs=1e-8)
+    want = sorted((1 / (1 + np.exp(-z[~train] @ beta))).tolist())
+    assert sorted(r["score"] for r in scored.collect()) == pytest.approx(want, abs=1e-9)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillscope.functions.order_stats import (all_present, exact_quantiles, few_groups, is_number,
                                              per_group)
+from tillscope.functions.sketches import approx_quantiles, distinct_sketches, merged_distinct
 from tillscope.model import VALUE_LABELS, WEEKDAYS
 
 def everything():
@@ -130,20 +131,25 @@ def value_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Number of distinct values per column, missing values left out."""
+    """Number of distinct values per column, missing values left out; ``approx``: by sketches, within their error."""
     if approx:
-        wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
-        return wide.unpivot([], list(cols), "column", "distinct")
+        return merged_distinct(distinct_sketches(df, cols))
     return value_table(df, cols).groupBy("column").agg(F.count("value").alias("distinct"))
 
 
 # --- by category ------------------------------------------------------------
 
-def group_spend(df: DataFrame, by: str, value: str = "final_price") -> DataFrame:
-    """Mean, median, deviation, count and 95 % half-width per level."""
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), small: bool | None = None,
+              approx: bool = False) -> DataFrame:
+    """Exact quantiles, or in one pass those of sketches."""
+    return approx_quantiles(df, value, probs, by) if approx else exact_quantiles(df, value, probs, by, small)
+
+
+def group_spend(df: DataFrame, by: str, value: str = "final_price", approx: bool = False) -> DataFrame:
+    """Mean, median, deviation, count and 95 % half-width per level; ``approx``: the median within a rank error."""
     small = few_groups(df, [by])
     stats = mean_ci(df, by, value)
-    medians = exact_quantiles(df, value, [0.5], [by], small)
+    medians = quantiles(df, value, [0.5], [by], small, approx)
     return (stats.join(per_group(medians.select(by, F.get("q", F.lit(0)).alias("median")), small), by, "left")
             .orderBy(by))
 
@@ -296,10 +302,10 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
             .orderBy("bin"))
 
 
-def box_stats(df: DataFrame, value: str) -> DataFrame:
-    """Quartiles, whiskers at the last points within 1.5 IQR, points beyond."""
+def box_stats(df: DataFrame, value: str, approx: bool = False) -> DataFrame:
+    """Quartiles, whiskers at the last points within 1.5 IQR, points beyond; ``approx``: quartiles within a rank error."""
     rows = df.select(F.col(value).cast("double").alias("v")).where(is_number(F.col("v")))
-    q = exact_quantiles(rows, "v", [0.25, 0.5, 0.75]).select("q").scalar()
+    q = quantiles(rows, "v", [0.25, 0.5, 0.75], approx=approx).select("q").scalar()
     v, iqr = F.col("v"), F.get("q", F.lit(2)) - F.get("q", F.lit(0))
     inside = v.between(F.get("q", F.lit(0)) - iqr * 1.5, F.get("q", F.lit(2)) + iqr * 1.5)
     return (rows.withColumn("q", q)

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import quantiles_of
+from tillscope.functions.sketches import approx_quantiles
 from tillscope.model import FENCE_WIDTHS
 
 
-def fences(df: DataFrame, value: str, method: str = "iqr", k: float | None = None) -> Column:
-    """Lower and upper bound as a one-row scalar subquery (struct ``lo``, ``hi``)."""
+def fences(df: DataFrame, value: str, method: str = "iqr", k: float | None = None, approx: bool = False) -> Column:
+    """Lower and upper bound as a one-row scalar subquery (struct ``lo``, ``hi``); ``approx``: of quartiles within a rank error."""
     if method == "iqr":
         k = 1.5 if k is None else k
         q = F.col("q")
-        ends = df.sparkSession.range(1).select(quantiles_of(df, value, [0.25, 0.75]).alias("q"))
+        quartiles = approx_quantiles(df, value, [0.25, 0.75]).select("q").scalar() if approx else quantiles_of(df, value, [0.25, 0.75])
+        ends = df.sparkSession.range(1).select(quartiles.alias("q"))
         iqr = F.get(q, F.lit(1)) - F.get(q, F.lit(0))
         pair = F.struct((F.get(q, F.lit(0)) - iqr * k).alias("lo"), (F.get(q, F.lit(1)) + iqr * k).alias("hi"))
     elif method == "zscore":
@@ -28,16 +30,16 @@ def fences(df: DataFrame, value: str, method: str = "iqr", k: float | None = Non
     return ends.select(pair).scalar()
 
 
-def flagged(df: DataFrame, value: str, method: str = "iqr", k: float | None = None) -> DataFrame:
+def flagged(df: DataFrame, value: str, method: str = "iqr", k: float | None = None, approx: bool = False) -> DataFrame:
     """``df`` with the fence ``_f`` and the flag ``_out``."""
     v = F.col(value)
     out = (v < F.col("_f.lo")) | (v > F.col("_f.hi"))
-    return df.withColumn("_f", fences(df, value, method, k)).withColumn("_out", F.coalesce(out, F.lit(False)))
+    return df.withColumn("_f", fences(df, value, method, k, approx)).withColumn("_out", F.coalesce(out, F.lit(False)))
 
 
-def outliers(df: DataFrame, value: str, method: str = "iqr", k: float | None = None) -> DataFrame:
+def outliers(df: DataFrame, value: str, method: str = "iqr", k: float | None = None, approx: bool = False) -> DataFrame:
     """Number and percentage of rows outside the fences."""
-    return (flagged(df, value, method, k)
+    return (flagged(df, value, method, k, approx)
             .agg(F.count_if("_out").alias("outliers"),
                  (F.try_divide(F.count_if("_out"), F.count("*")) * 100).alias("outlier_pct"),
                  F.first("_f").alias("f"))

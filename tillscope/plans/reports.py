@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tillscope.functions import sketches as sk
+from tillscope.functions.memo import memoised
+from tillscope.functions.staging import shared_path, stage
 from tillscope.model import FILTER_COLS, NUM_COLS
 from tillscope.operators import metrics as m
 from tillscope.operators import outliers as o
@@ -12,7 +17,6 @@ from tillscope.operators import sampling as smp
 from tillscope.operators import series as ts
 from tillscope.operators import slices as sl
 from tillscope.plans.catalog import Query
-from tillscope.functions.staging import shared_path
 from tillscope.sources.transactions import export_slice, read_transactions
 
 YEAR = ("1998-01-01", "1998-12-31")
@@ -299,6 +303,44 @@ for _by in (None, "product_category", "state"):
         f"""SELECT *, row_number() OVER ({'PARTITION BY ' + _by if _by else ''} ORDER BY order_month) - 1 AS idx
   FROM (SELECT {_key}order_month, sum(final_price) AS revenue FROM en GROUP BY ALL)""")
 
+# --- sketches ---------------------------------------------------------------
+
+
+def sketched_ranks(c):
+    """Quartiles of a year from the sketches of its months, and whether their true ranks are within the stated error."""
+    facts = c.flat("order_month", "order_year", "final_price")
+    months = stage(sk.quantile_sketches(facts, "final_price", ["order_year", "order_month"]), "sketches")
+    probs = (0.25, 0.5, 0.75)
+    told = sk.merged_quantiles(months, probs, ["order_year"]).withColumnRenamed("order_year", "_year")
+    rows = facts.join(F.broadcast(told), F.col("order_year") == F.col("_year"))  # one row a year
+    below = [F.count_if(F.col("final_price") < F.col("q")[i]) for i in range(len(probs))]
+    upto = [F.count_if(F.col("final_price") <= F.col("q")[i]) for i in range(len(probs))]
+    slack = F.count("*") * (2 * sk.RANK_ERROR) + 1
+    near = [(b <= F.count("*") * p + slack) & (u >= F.count("*") * p - slack) for b, u, p in zip(below, upto, probs)]
+    return rows.groupBy("order_year").agg(F.count("*").alias("n"), (near[0] & near[1] & near[2]).alias("within"))
+
+
+def sketched_counts(c):
+    """Distinct values of a year from the sketches of its months, and whether they are near the exact count."""
+    cols = ["customer_id", "product_subcategory", "city", "order_id"]
+    facts = c.flat("order_month", "order_year", *cols)
+    months = stage(sk.distinct_sketches(facts, cols, ["order_year", "order_month"]), "sketches")
+    told = sk.merged_distinct(months, ["order_year"]).select(F.col("order_year").alias("_year"), F.col("column").alias("_column"), F.col("distinct").alias("_told"))
+    exact = facts.groupBy("order_year").agg(*[F.count_distinct(x).alias(x) for x in cols]).unpivot(["order_year"], cols, "column", "exact")
+    both = exact.join(told, (F.col("order_year") == F.col("_year")) & (F.col("column") == F.col("_column")))
+    return both.withColumn("within", F.abs(F.col("_told") - F.col("exact")) <= F.col("exact") * (5 * sk.DISTINCT_ERROR) + 1)
+
+
+add("sketched_quantiles_by_year", "order_year:i n:l within:b", sketched_ranks, "SELECT order_year, count(*) AS n, true AS within FROM en GROUP BY 1")
+add("sketched_distinct_by_year", "order_year:i column exact:l within:b", sketched_counts, " UNION ALL ".join(
+    f"SELECT order_year, '{x}' AS \"column\", count(DISTINCT {x}) AS exact, true AS within FROM en GROUP BY 1" for x in ("customer_id", "product_subcategory", "city", "order_id")))
+def _kpi(raw):
+    return raw.agg(F.count("*").alias("orders"), F.sum("final_price").alias("revenue"), F.avg("final_price").alias("aov"))
+
+
+add("memoised_kpi", "orders:l revenue:4 aov:4", lambda c: [memoised(c.raw, "kpi", _kpi) for _ in range(2)][1],
+    "SELECT count(*) AS orders, sum(final_price) AS revenue, avg(final_price) AS aov FROM tx")
+
 # --- samples and extremes ---------------------------------------------------
 
 SAMPLE_KEYS = ("order_id", "customer_id", "order_date", "quantity")
