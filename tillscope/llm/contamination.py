@@ -7,10 +7,14 @@ and Myers' bit-parallel distance verifies the surroundings of each.
 
 Letters A-Z count as a-z and white space as blanks, so places are code points
 of the original text. Cases: null or empty texts have no match; items that are
-null or blank are not searched for; those shorter than ``LEAST`` code points
-without blanks at their ends match without edits and at word borders only:
-no letter or digit may go on before or after them. Items with one text are each
-reported. Items come to the driver in blocks of ``BLOCK``.
+null or blank are not searched for; those too short for one edit match as whole
+words, that is, no letter or digit may go on before or after them. Items with one
+text are each reported.
+
+Items come to the driver, and go to the tasks, in blocks of at most ``BLOCK``
+items and ``BLOCK_CHARS`` code points (or one longer item). With more than one
+block, each is searched for in a pass of its own over a staged copy of the documents,
+so that one block at a time is in memory, however many items there are.
 """
 
 from collections import defaultdict
@@ -22,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tillscope.functions.staging import stage
 from tillscope.llm.common import chunks, documents
 
-RATE, LEAST, BLOCK = 0.05, 20, 5_000
+RATE, BLOCK, BLOCK_CHARS = 0.05, 5_000, 4_000_000
+#: Code points that an occurrence has at least for the pipeline to drop its document; shorter ones are only reported.
+PASSAGE = 25
 MATCHES = "array<struct<item_id:bigint,start:bigint,end:bigint,distance:bigint>>"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
@@ -81,7 +88,7 @@ class Items:
 
         self.items, pieces = [], defaultdict(list)
         for ids, text in items:
-            k = int(len(text) * rate) if len(text) >= LEAST else 0
+            k = int(len(text) * rate)
             self.items.append((ids, text, k, Pattern(text), Pattern(text[::-1])))
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -101,7 +108,7 @@ class Items:
                     continue
                 tried.add((n, at))
                 ids, item, k, forward, backward = self.items[n]
-                if len(item) < LEAST and not bordered(text, at, last + 1):
+                if not k and not bordered(text, at, last + 1):
                     continue
                 low = max(0, at - k)
                 window = text[low:max(low, at + len(item) + k)]
@@ -119,7 +126,7 @@ class Items:
 
 def finder(items: list[tuple[list[int], str]], rate: float, spark):
     """A column function of text that gives the matches of these items."""
-    packed = spark.sparkContext.broadcast(items)  # one block
+    packed = spark.sparkContext.broadcast(items)  # one block, of bounded size
 
     def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         search = Items(packed.value, rate)
@@ -135,26 +142,31 @@ def finder(items: list[tuple[list[int], str]], rate: float, spark):
     return arrow_udf(found, MATCHES)
 
 
-def blocks(benchmark: DataFrame, least: int = 1, size: int = BLOCK) -> Iterator[list[tuple[list[int], str]]]:
-    """Distinct folded item texts with their ids, ``size`` at a time."""
+def blocks(benchmark: DataFrame, least: int = 1) -> Iterator[list[tuple[list[int], str]]]:
+    """Distinct folded item texts with their ids, a block at a time."""
     same = (benchmark.where("item_id is not null and text is not null").select("item_id", F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")).alias("text"))
             .where(F.length("text") >= least).groupBy("text").agg(F.sort_array(F.collect_set(F.col("item_id").cast("long"))).alias("ids")))
     block: dict[str, list[int]] = {}
+    chars = 0
     for text, ids in same.orderBy("ids").toLocalIterator():
-        block.setdefault(folded(text), []).extend(ids)
-        if len(block) == size:
+        if block and (len(block) == BLOCK or chars + len(text) > BLOCK_CHARS):
             yield [(v, k) for k, v in block.items()]
-            block = {}
+            block, chars = {}, 0
+        block.setdefault(folded(text), []).extend(ids)
+        chars += len(text)
     if block:
         yield [(v, k) for k, v in block.items()]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, name: str = "matches", rate: float = RATE, text: str = "text") -> DataFrame:
     """``docs`` with a column ``name``: all occurrences of items in the whole text."""
-    found = [finder(b, rate, docs.sparkSession)(text) for b in blocks(benchmark)]
-    if not found:
-        return docs.withColumn(name, F.expr(f"cast(array() as {MATCHES})"))
-    return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
+    none, done = F.expr(f"cast(array() as {MATCHES})"), False
+    for block in blocks(benchmark):
+        if done:
+            docs = stage(docs, "matched")
+        found = finder(block, rate, docs.sparkSession)(text)
+        docs, done = docs.withColumn(name, F.concat(name, found) if done else found), True
+    return docs if done else docs.withColumn(name, none)
 
 
 def op7_edit_matches(spark, folder: str) -> DataFrame:
