@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions.staging import stage
 from tillscope.llm.common import documents, learns
-from tillscope.llm.contamination import find_items
+from tillscope.llm.contamination import PASSAGE, find_items
 from tillscope.llm.language import identify
 from tillscope.llm.mixing import mixed_rows
 from tillscope.llm.simhash import one_of_each
@@ -33,9 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a passage of the benchmark."""
+    """Drop documents with a passage of the benchmark: an occurrence of at least ``PASSAGE`` code points."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_items(_rows(docs), benchmark, text="doc.text").where("size(matches) = 0").select("doc.*")
+    found = find_items(_rows(docs), benchmark, text="doc.text")
+    return found.where(f"not exists(matches, m -> m.end - m.start >= {PASSAGE})").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
