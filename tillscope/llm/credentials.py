@@ -112,3 +112,37 @@ def op9_credential_links(spark, folder: str) -> DataFrame:
     base = "concat(" + ", ".join(f"{k}_spans" for k in BASE) + ")"
     return out.select("doc_id", *(F.size(f"{k}_spans").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_told(base), 256).alias("base_sha256"),
                       _told(f"concat({base}, linked)").alias("spans"))
+
+
+def _sql() -> str:
+    """The whole result in SQL: spans from the lengths of matches and of the pieces between them, links by interval semi-joins."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    test = {"random": "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]')"}
+    found = []
+    for kind, (pattern, group, least, *_) in (BASE | WEAK).items():
+        p = quoted("[0-9a-f]{24,}" if kind == "hex" else pattern)
+        found.append(f"""select r, {KINDS.index(kind)} as k, x, b, b + length(x) as e from (
+  select r, x, n, (sum(gap) over w + coalesce(sum(length(x)) over (w rows between unbounded preceding and 1 preceding), 0))::bigint as b
+  from (select r, unnest(m) as x, unnest(list_transform(v, lambda y: length(y))) as n, unnest(list_transform(p[1:len(m)], lambda y: length(y))) as gap, unnest(range(len(m))) as i from (
+    select r, regexp_extract_all(t, {p}) as m, regexp_extract_all(t, {p}, {group}) as v, string_split_regex(t, {p}) as p from d where regexp_matches(t, {p})))
+  window w as (partition by r order by i)) where n >= {least}{' and ' + test[kind] if kind in test else ''}""")
+    kinds = {k: i for i, k in enumerate(KINDS)}
+    numbers = lambda *names: ", ".join(str(kinds[x]) for x in names)
+    near = lambda *names: f"""exists (select 1 from parts o where o.r = w.r and o.k in ({numbers(*names)}) and o.b < w.e + {SCOPE} and o.e + {SCOPE} > w.b and not (o.k = w.k and o.b = w.b))"""
+    identifier, secret = near("access", "login"), near("assign", "hex", "random")
+    name = "case k " + " ".join(f"when {i} then '{'linked_' * (k in WEAK)}{k}'" for k, i in kinds.items()) + " end"
+    told = f"string_agg({name} || ':' || b || ':' || e, ',' order by b, k)"
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+s as materialized ({' union all '.join(found)}),
+parts as materialized (select * from s where k < {len(BASE)} or not exists (select 1 from s o where o.r = s.r and o.k < {len(BASE)} and o.b < s.e and s.b < o.e)),
+linked as materialized (select * from parts w where (k = {kinds['random']} and {identifier}) or (k = {kinds['login']} and {secret}) or (k = {kinds['address']} and {identifier} and {secret})),
+base as (select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, {told} as told from s where k < {len(BASE)} group by r),
+every as (select r, {told} as told from (select * from s where k < {len(BASE)} union all select * from linked) group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base.told, '')) as base_sha256, coalesce(every.told, '') as spans
+from d left join base using (r) left join every using (r)
+"""
+
+
+OP9_SQL = _sql()

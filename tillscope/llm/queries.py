@@ -3,7 +3,7 @@
 from tillscope.llm.alignment import op12_perfect_hash_alignment
 from tillscope.llm.chat import OP13_SQL, op13_reply_paths
 from tillscope.llm.contamination import op7_edit_matches
-from tillscope.llm.credentials import op9_credential_links
+from tillscope.llm.credentials import OP9_SQL, op9_credential_links
 from tillscope.llm.language import op4_kneser_ney
 from tillscope.llm.mixing import op3_entropy_mix
 from tillscope.llm.ngram_trie import op5_elias_fano_trie
@@ -21,4 +21,4 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 #: The others use learned models, graph steps, file round trips or hashes that SQL lacks; tests compare them with plain Python.
-ORACLES: dict[str, str] = {"op11_vantage_tree": OP11_SQL, "op13_reply_paths": OP13_SQL}
+ORACLES: dict[str, str] = {"op9_credential_links": OP9_SQL, "op11_vantage_tree": OP11_SQL, "op13_reply_paths": OP13_SQL}
