@@ -59,8 +59,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: Not every stage could be written in SQL. A test holds the rows that near_duplicates keeps against brute force; of the
-#: other stages tests check columns, some ids and the order of the result, and their operators on their own.
+#: Not every stage could be written in SQL. Tests hold the rows that near_duplicates, decontamination and mixing keep, and
+#: the ids that tokens writes, against plain Python, and those of language against its operator, whose models have a test of their own.
 ORACLE_SQL = None
 
 
