@@ -92,7 +92,9 @@ def xxhash_weights(spark, digests, trees):
     return out
 
 
-def test_forest_equals_one_grown_node_by_node(spark):
+@pytest.mark.parametrize("shared", [7, 2])
+def test_forest_equals_one_grown_node_by_node(spark, monkeypatch, shared):
+    monkeypatch.setattr(forest, "SHARED_LEVELS", shared)
     rng = np.random.default_rng(6)
     n, trees, depth = 400, 7, 5
     x = np.column_stack([rng.integers(0, 9, n), np.round(rng.normal(size=n), 1), np.full(n, 3)])

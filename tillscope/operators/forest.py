@@ -33,6 +33,8 @@ TREES, DEPTH, MAX_BINS = 150, 14, 256
 UNITS = 1 << 24
 #: Poisson counts that are told apart; a higher one has a chance below 2^-53.
 MOST_COPIES = 17
+#: Levels at which cells are added up by bin before running sums.
+SHARED_LEVELS = 7
 
 
 @dataclass
@@ -84,12 +86,13 @@ def scale_of(df: DataFrame, label: str) -> tuple[float, float]:
     return float(low + (high - low) / 2), 2.0 ** frexp(high - low)[1] / UNITS
 
 
-def _best_splits(cells: DataFrame, n_features: int) -> DataFrame:
+def _best_splits(cells: DataFrame, n_features: int, level: int) -> DataFrame:
     """The split of each node that lowers the squared error most; ties go to the first feature, then the lowest bin."""
     choices = ", ".join(f"struct({i} AS feature, _bin{i} AS bin)" for i in range(n_features))
-    by_bin = (cells.where("w > 0").repartition("tree", "node").selectExpr("tree", "node", "w", "s", f"inline(array({choices}))")
-              .groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s")))
-    along = Window.partitionBy("tree", "node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    by_bin = cells.where("w > 0").repartition("tree", "node").selectExpr("tree", "node", "w", "s", f"inline(array({choices}))")
+    if level < SHARED_LEVELS:  # many cells of a node share a bin; further down the running sums take in the few that do
+        by_bin = by_bin.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    along = Window.partitionBy("tree", "node", "feature").orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("tree", "node", "feature")
     sums = by_bin.select("tree", "node", "feature", "bin", F.sum("w").over(along).alias("wl"), F.sum("s").over(along).alias("sl"),
                          F.sum("w").over(whole).alias("w"), F.sum("s").over(whole).alias("s"))
@@ -120,25 +123,25 @@ def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, se
     root = cells.groupBy("tree").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).select("tree", F.lit(1).alias("node"), "w", "s")
 
     levels, finished = [], []
-    for _ in range(depth):
-        best = stage(_best_splits(cells, len(features)), "splits")
+    for level in range(depth):
+        best = stage(_best_splits(cells, len(features), level), "splits")
         if best.isEmpty():
             break
         levels.append(best)
         here = best.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "feature", "bin")
         at = F.expr("CASE feature " + " ".join(f"WHEN {i} THEN _bin{i}" for i in range(len(features))) + " END")
-        moved = cells.join(here, (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")), "left").where("feature IS NOT NULL OR asked")
+        moved = cells.join(here.hint("shuffle_hash"), (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")), "left").where("feature IS NOT NULL OR asked")
         inner = F.col("feature").isNotNull()
         moved = stage(moved.select("tree", *bins, "w", "s", "asked", inner.alias("inner"), F.when(inner, 2 * F.col("node") + (at > F.col("bin")).cast("int")).otherwise(F.col("node")).alias("node")), "cells")
         finished.append(moved.where("NOT inner"))
         cells = moved.where("inner")
     finished.append(cells.where("asked"))
-    splits = reduce(DataFrame.union, levels) if levels else _best_splits(cells, len(features)).limit(0)
+    splits = reduce(DataFrame.union, levels) if levels else _best_splits(cells, len(features), 0).limit(0)
     left = splits.selectExpr("tree", "2 * node AS node", "wl AS w", "sl AS s")
     right = splits.selectExpr("tree", "2 * node + 1 AS node", "w - wl AS w", "s - sl AS s")
     means = root.union(left).union(right).select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), (F.lit(centre) + unit * F.col("s") / F.col("w")).alias("value"))
     ends = reduce(DataFrame.union, [x.select("tree", "node", *bins) for x in finished])
-    found = ends.join(means, (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")))
+    found = ends.join(means.hint("shuffle_hash"), (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")))
     # the sum is of whole units, so the same in any order
     leaves = stage(found.groupBy(*bins).agg(F.avg("value").alias("value")), "leaves")
     return Forest(features, cuts, splits, leaves)
