@@ -333,3 +333,24 @@ def test_query_adds_its_probe(spark):
     assert set(got) == set(pd.read_parquet(f"{FOLDER}/conversations.parquet").conv_id) | {-1}
     with pytest.raises(ValueError):
         list(chat.turns_of("<|im_start|>user\nno end"))
+
+
+@pytest.mark.parametrize("quick", [True, False])
+def test_alignment_of_odd_strings(vocabularies, quick):
+    rng = random.Random(11)
+    bits = [*"aZé9É.,'<|>▁ \t\n \u0085½中²_\x7f\x00\x1c", " ", " ", " ", "  ", "<|endoftext|>", "'s", "'ll", "é", "\U0001f600", "￿", " ", "　", "word", "ÀÉ", "12", "ﬁ", "</s>"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(2500 if quick else 300)]
+    aligner = alignment.Aligner(*vocabularies)
+    assert aligner.pair.parts and aligner.pair.quick is not None
+    if not quick:
+        aligner.pair.quick = None
+    found = []
+    for at, to, parts in alignment.slices(pa.array(texts), False):
+        good, groups = alignment._good(aligner, parts, to - at), [[] for _ in range(to - at)]
+        for data, offsets in parts:
+            w = aligner.words(data, offsets)
+            for s, k in zip(w.slice.tolist(), w.at.tolist()):
+                groups[s].append(aligner.groups[k])
+        found += [";".join(g) if ok else "" for g, ok in zip(groups, good)]
+    want = [w[6] for w in plain_alignment(texts, vocabularies)]
+    assert sum(map(bool, want)) > len(texts) // 2 and [t for t, g, w in zip(texts, found, want) if g != w] == []

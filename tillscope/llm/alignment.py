@@ -26,9 +26,11 @@ rows each count. An empty table gives an empty result. Other columns are not rea
 """
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +55,8 @@ _LEVEL = 0x9E3779B97F4A7C15
 _WIDE = (0xC2, 0xE1, 0xE2, 0xE3)
 #: A space that parts tokens, with the byte before it, or the end behind it.
 _OVER = re.compile(rb"[^ ] (?:[\x21-\x7e\x80-\xc1\xc3-\xe0\xe4-\xff]|\Z)")
+#: Texts on whose parts, or in whose encodings, vocabularies are compared.
+PROBES = ["a 'b", "it 's", "1 2a", "été x", "!? ?!", "a\t b", "a\n\n b", "<|endoftext|> z", "a中 0", "' s", "\U0001f600 \U0001f600", "a\u00a0 b"]
 
 
 class PerfectHash:
@@ -118,7 +122,7 @@ class Pair:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.a, self.b = Tokenizer.from_file(byte_level), sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.a.encode_special_tokens = True
+        self.a.encode_special_tokens, self.quick = True, None
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         others = [b for b in range(256) if b not in own]
@@ -135,18 +139,40 @@ class Pair:
         self.bytes_a, self.bytes_b = _arena(table_a), _arena(table_b)
         # a token that held a space after other characters would reach over the places where texts are cut
         self.parts = not any(_OVER.search(t) for t in table_a + table_b) and self._parts_at_spaces()
+        self.quick = self._quick(byte_level, table_a)
+
+    def _quick(self, byte_level: str, table: list[bytes]):
+        """A's vocabulary as ranks of token bytes, which encodes faster; None where it might not give the same ids.
+
+        It does where nothing happens before the pattern of byte-level
+        vocabularies splits the text, and merges have the order of their ids.
+        """
+        import public_tokenizers
+        import tiktoken
+
+        told = json.loads(Path(byte_level).read_text())
+        before, model = told["pre_tokenizer"], told["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        plain = (told["normalizer"] is None and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and model["type"] == "BPE"
+                 and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+                 and [model["vocab"][a + b] for a, b in pairs] == list(range(256, 256 + len(pairs))))
+        if not plain:
+            return None
+        special = {t["id"] for t in told["added_tokens"]}
+        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(table) if i not in special}, special_tokens={})
+        texts = [f" {p}{q}" for p in PROBES for q in (" 're x'll 12½ ﬁ\u0301", "\r\n\n \u3000x", "ΑΣ  \U0001f1e9\U0001f1ea\u200d")]
+        return quick if all(quick.encode_ordinary(t) == self.ids_a(t) for t in texts) else None
 
     def _parts_at_spaces(self) -> bool:
-        probes = ["a 'b", "it 's", "1 2a", "été x", "!? ?!", "a\t b", "a\n\n b", "<|endoftext|> z", "a中 0", "' s", "\U0001f600 \U0001f600", "a\u00a0 b"]
         for encode in (lambda s: self.ids_a(" " + s), self.ids_b):
-            for p in probes:
+            for p in PROBES:
                 left, right = p.split(" ")
                 if encode(p) != encode(left) + encode(right):
                     return False
         return True
 
     def ids_a(self, text: str) -> list[int]:
-        return self.a.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text) if self.quick else self.a.encode(text, add_special_tokens=False).ids
 
     def ids_b(self, text: str) -> list[int]:
         return self.b.encode(text)
@@ -209,12 +235,12 @@ def slices(texts: pa.Array, whole: bool) -> Iterator[tuple[int, int, list[tuple[
 
 
 class Aligner:
-    """Words with their links, remembered by a hash of their bytes."""
+    """Words with their links and, with ``texts``, the text of their groups, remembered by a hash of their bytes."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        self.pair = Pair(byte_level, pieces)
+    def __init__(self, byte_level: str, pieces: str, texts: bool = True):
+        self.pair, self.texts = Pair(byte_level, pieces), texts
         # a token's number and what follows it in the text of its groups
-        self.told = [[f"{i}{end}" for i in range(n)] for n, ends in ((self.pair.size_a, ",|"), (self.pair.size_b, ",;")) for end in ends]
+        self.told = [np.array([[f"{i}{end}" for end in ends] for i in range(n)], object) for n, ends in ((self.pair.size_a, ",|"), (self.pair.size_b, ",;"))]
         self.forget()
 
     def forget(self) -> None:
@@ -288,20 +314,25 @@ class Aligner:
                 self._add(np.zeros((1, 5), np.int64), [""], np.zeros(0, np.uint64))
             return
         (a, b), (end_a, end_b) = tokens, ends
-        # all ends and shared ends of tokens in the bytes
-        shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        cut = np.union1d(end_a, end_b)
+        # all ends and shared ends of tokens in the bytes; the group of each token, and whether it closes it
+        near = np.searchsorted(end_b, end_a)
+        shared = end_a[end_b[near] == end_a]  # the last ends are equal
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        closes_a, closes_b = shared[group_a] == end_a, shared[group_b] == end_b
+        cut = np.sort(np.concatenate([end_a, end_b[~closes_b]]), kind="stable")
         links = a[np.searchsorted(end_a, cut)].astype(np.uint64) * np.uint64(pair.size_b) + b[np.searchsorted(end_b, cut)].astype(np.uint64)
         told = np.ones((len(texts), 5), np.int64)
         for j, of in enumerate((end_a, end_b, shared, cut)):
             told[:, j] = np.diff(np.searchsorted(of, last, side="right"), prepend=0)
-        # the text of the groups: by group, A before B, in order
-        closes_a, closes_b = np.isin(end_a, shared, assume_unique=True), np.isin(end_b, shared, assume_unique=True)
-        group = np.concatenate([np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)])
-        side = np.repeat([0, 1], [len(a), len(b)])
-        order = np.lexsort((np.concatenate([np.arange(len(a)), np.arange(len(b))]), side, group))
-        names = [self.told[k][i] for k, i in zip((2 * side + np.concatenate([closes_a, closes_b]))[order].tolist(), np.concatenate([a, b])[order].tolist())]
-        until = np.cumsum(told[:, 0] + told[:, 1]).tolist()
+        if not self.texts:
+            self._add(told, [""] * len(texts), links)
+            return
+        # the text of the groups: a token of A comes behind the tokens of B in the groups before, one of B behind those of A in its own too
+        through_a, through_b = np.searchsorted(end_a, shared, side="right"), np.searchsorted(end_b, shared, side="right")
+        names = np.empty(len(a) + len(b), object)
+        names[np.arange(len(a)) + np.concatenate([[0], through_b])[group_a]] = self.told[0][a, closes_a.astype(np.int64)]
+        names[np.arange(len(b)) + through_a[group_b]] = self.told[1][b, closes_b.astype(np.int64)]
+        names, until = names.tolist(), np.cumsum(told[:, 0] + told[:, 1]).tolist()
         self._add(told, ["".join(names[x:y])[:-1] for x, y in zip([0, *until], until)], links)
 
     def _add(self, told: np.ndarray, groups: list[str], links: np.ndarray) -> None:
@@ -325,11 +356,11 @@ class Aligner:
         return self.links[ragged(self.first[which], size)], size
 
 
-def _aligner(byte_level: str, pieces: str) -> Aligner:
+def _aligner(byte_level: str, pieces: str, texts: bool) -> Aligner:
     """The worker's own aligner; it lives on from task to task."""
     global _kept
-    if globals().get("_kept", (None,))[0] != (byte_level, pieces):
-        _kept = ((byte_level, pieces), Aligner(byte_level, pieces))
+    if globals().get("_kept", (None,))[0] != (byte_level, pieces, texts):
+        _kept = ((byte_level, pieces, texts), Aligner(byte_level, pieces, texts))
     return _kept[1]
 
 
@@ -360,7 +391,7 @@ def pair_counts(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner = _aligner(byte_level, pieces)
+        aligner = _aligner(byte_level, pieces, False)
         held, size = [], 0
         for batch in batches:
             for at, to, parts in slices(batch.column(0), not aligner.pair.parts):
@@ -504,7 +535,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, groups: bool = False) -
     names = [c.split()[0] for c in RESULT.split(", ")] + ["groups"] * groups
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, told, opened = _aligner(byte_level, pieces), counts.value, {}
+        aligner, told, opened = _aligner(byte_level, pieces, True), counts.value, {}
         for batch in batches:
             for at, to, parts in slices(batch.column(1), not aligner.pair.parts):
                 n = to - at
