@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
+from tillscope.functions.staging import stage
 from tillscope.llm import common, contamination, credentials, language, mixing, ngram_trie, quality, queries, shards, simhash, suffixes, token_files
 
 FOLDER = "/root/testdata/sf0.001"
@@ -61,6 +63,24 @@ def test_shards(spark, docs):
     assert (split > 1).sum() <= 7
 
 
+def test_shards_cut_far_fewer_links_than_dealing_at_random(spark):
+    common.ship(spark)
+    rng = np.random.default_rng(1)
+    sizes = [int(x) for x in np.minimum(rng.zipf(1.6, 200) + 1, 60)]
+    rows = [(k, f"group {g}") for k, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = shards.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas().merge(pd.DataFrame(rows, columns=["doc_id", "text"]))
+
+    def cut(label):  # pairs of equal texts in different shards, counted by group
+        n = got.groupby(["text", label]).size()
+        return sum((s.sum() ** 2 - (s ** 2).sum()) // 2 for _, s in n.groupby("text"))
+
+    got["random"] = rng.permutation(np.arange(len(got)) % 8)
+    assert cut("shard") < 0.25 * cut("random")
+    even = got.groupby("shard").size()
+    assert even.max() - even.min() <= 1
+
+
 def test_shards_stay_even_and_mostly_uncut_beside_a_hot_group(spark):
     common.ship(spark)
     hot = spark.range(800).selectExpr("id as doc_id", "if(id < 300, 'same', cast(id div 2 as string)) as text")
@@ -82,6 +102,32 @@ def test_token_files(spark, docs):
         at += len(ids)
 
 
+def test_token_ids_by_units_are_those_of_whole_texts(monkeypatch):
+    import public_tokenizers
+
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_units
+    rng = np.random.default_rng(4)
+    bits = [*"aZé9É.,'<|> \t\n\u00a0\u0085×÷İĲſßΣ中½²_", "<|endoftext|>", "'S", "'ll", "e\u0301", "\U0001f600", "\uffff", "\x1c", "word", "ÀÉ", "12"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 14)))) for _ in range(4000)]
+    texts += pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.tolist()
+    want = [[*e.ids, 1] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_files, "KNOWN_UNITS", 20_000)  # so that some are forgotten
+    got = []
+    for data, offsets in common.chunks(pa.array(texts), 1 << 19):
+        ids, size = encoder.encode(data, offsets)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert got == want
+
+
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))  # keeps white space
+    data = np.frombuffer("one  Two\n three".encode(), np.uint8)
+    assert not encoder.by_units and encoder.encode(data, np.array([0, len(data)]))[0][:-1].tolist() == encoder.whole("one  Two\n three")
+
+
 @pytest.mark.parametrize("width", [1, 5, 16, 17, 33])
 def test_bits_round_trip_and_random_access(tmp_path, width):
     ids = np.random.default_rng(width).integers(0, 1 << min(width, 31), 70_001).astype(np.uint32)
@@ -105,6 +151,26 @@ def test_mixing(spark, docs):
     assert run(spark, "op3_entropy_mix").equals(got)
 
 
+def test_mixing_rates_solve_the_dual(spark, docs):
+    got = run(spark, "op3_entropy_mix").join(docs.source.rename("src"))
+    for _, g in got.groupby("src"):
+        size, target = g["size"].to_numpy(float), g.target.iloc[0]
+        z = size / max(size.mean(), 1e-9)
+        words_at = lambda lam: (size * np.minimum(3.0, np.exp(np.minimum(lam * z, 50)))).sum()
+        low, high = -200.0, 200.0
+        for _ in range(200):  # bisection
+            mid = (low + high) / 2
+            low, high = (mid, high) if words_at(mid) < target else (low, mid)
+        want = np.minimum(3.0, np.exp(np.minimum(high * z, 50)))
+        if target >= 3 * size.sum() * (1 - 1e-9):
+            want = np.full(len(size), 3.0)
+        some = size > 0
+        assert np.allclose(g.rate[some], want[some], rtol=1e-5, atol=1e-9)
+        # whole copies follow the rates: within one of their sums along sizes, and no document above the highest rate
+        order = np.lexsort((-g.copies.to_numpy(), size))
+        assert (g.copies <= 3).all() and np.abs(np.cumsum((g.copies.to_numpy() - g.rate.to_numpy())[order])[-1]) < 1.5
+
+
 def test_language(spark, docs):
     got = run(spark, "op4_kneser_ney")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.index]).all()
@@ -315,6 +381,53 @@ def test_short_items_match_exactly_at_word_borders(spark):
         0: [(1, 6, 11, 0)], 4: [(1, 0, 5, 0)], 6: [(2, 8, 11, 0)], 7: [(2, 0, 3, 0)], 9: [(2, 4, 7, 0)]}
 
 
+def test_items_in_blocks_give_the_same_matches(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(60)
+    spread = lambda df: {r["doc_id"]: sorted(map(str, r["matches"])) for r in rows_of(df)}
+    whole = spread(contamination.find_items(frame, items))
+    monkeypatch.setattr(contamination, "BLOCK", 1 + items.count() // 3)
+    parts = list(contamination.blocks(items))
+    assert len(parts) >= 3 and spread(contamination.find_items(frame, items)) == whole
+    monkeypatch.setattr(contamination, "BLOCK_CHARS", 150)
+    assert all(len(p) == 1 or sum(len(t) for _, t in p) <= 150 for p in contamination.blocks(items))
+
+
+def test_decontamination_stage_drops_passages_only(spark, tmp_path):
+    spark.createDataFrame([(1, "yes"), (2, "A question that is a passage, is it not?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "well, yes."), (2, "so: a question that is a pasage, is it not? yes"), (3, "no"), (4, None), (None, "yes")]
+    left = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "3", "4", "None"]
+
+
+def plain_matches(texts, items, rate):
+    """Documents with an occurrence of a whole item within its edits, by dynamic programming over all of each text."""
+    found = set()
+    for i, t in texts.items():
+        t = contamination.folded(t or "")
+        for item in items:
+            item, row = contamination.folded(item).strip(), None
+            column = np.arange(len(item) + 1)
+            best = len(item)
+            for c in t:  # one column at a time; deletions by a running minimum
+                cost = np.minimum(column[:-1] + (np.frombuffer(item.encode("utf-32-le"), "<u4") != ord(c)), column[1:] + 1)
+                new = np.concatenate([[0], cost])
+                column = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+                best = min(best, int(column[-1]))
+            if best <= int(len(item) * rate):
+                found.add(i)
+                break
+    return found
+
+
+def test_decontamination_stage_against_dynamic_programming(spark, docs):
+    items = pd.read_parquet(f"{FOLDER}/benchmark.parquet").text.dropna().tolist()
+    short = docs.text[docs.text.map(lambda t: len(t or "")) < 2500].iloc[:60]
+    frame = spark.createDataFrame(list(short.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, frame, FOLDER).collect()}
+    assert set(short.index) - kept == plain_matches(short.to_dict(), items, contamination.RATE)
+
+
 def test_repeated_passages(spark, docs):
     got = run(spark, "op8_sparse_suffixes")
     own, seen = {i: words(t) for i, t in docs.text.items()}, collections.defaultdict(set)
@@ -422,6 +535,27 @@ def test_stages_keep_columns(spark, odd, empty, tmp_path):
         assert "2" not in left["language"] and left["near_duplicates"].count("1") == 1 and "5" not in left["decontamination"]
 
 
+def test_last_stages_against_plain_python(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    copies = {r["doc_id"]: r["copies"] for r in rows_of(mixing.mix(frame))}
+    mixed = stage(corpus_pipeline.mix_sources(spark, frame, FOLDER), "mixed")
+    assert collections.Counter(r["doc_id"] for r in mixed.select("doc_id").collect()) == {i: n for i, n in copies.items() if n}
+    got = corpus_pipeline.tokens(spark, mixed, FOLDER).toPandas().sort_values("start")
+    at = 0
+    for r in got.itertuples():
+        ids = [*tokenizer.encode(docs.text[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(got) == sum(copies.values())
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, frame, FOLDER).collect()}
+    found = {r["doc_id"]: r["far"] for r in rows_of(language.identify(frame, frame.where(common.learns(4, 2)).select("doc_id", "text", "lang")).select("doc_id", "found.*"))}
+    assert kept == {i for i, far in found.items() if not far}
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, FOLDER).toPandas().sort_values("start")
     assert (got.start.iloc[1:].to_numpy() == (got.start + got.n_tokens).iloc[:-1].to_numpy()).all() and got.start.iloc[0] == 0

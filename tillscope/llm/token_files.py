@@ -15,7 +15,6 @@ named by the committed index are read.
 
 import io
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,65 +25,115 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.staging import shared_path, stage
-from tillscope.llm.common import chunks, documents, opened, pack_bits, ragged, unpack_bits, words
+from tillscope.llm.common import Words, chunks, documents, opened, pack_bits, prefix_hash, ragged, run_hash, unpack_bits
 
 BLOCK = 1 << 16
 END = 1
-#: Distinct words whose ids a Python worker remembers before it starts anew.
-KNOWN_WORDS = 2_500_000
-#: Of these, the words without their marks that are kept as text.
-KNOWN_PARTS = 500_000
-#: A word of ASCII letters, with marks behind it that always are a token's start of their own.
-MARKS = ".,;:!?*$%&#"
-PLAIN = re.compile(f"([A-Za-z]+)([{re.escape(MARKS)}]*)")
+#: Distinct units whose ids a Python worker remembers before it starts anew.
+KNOWN_UNITS = 2_500_000
+#: Marks that may be parted from letters and digits: no apostrophe, and none of the characters that special tokens have.
+MARKS = ".,;:!?*$%&#()[]{}-_/\\\"=+@~^`"
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[ord(c) for c in MARKS]] = _MARK
+_KIND[range(48, 58)] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Texts on which encoding by units has to agree with the vocabulary's own way, or texts are encoded whole.
+PROBES = ["It's the END... of 12,345 (things)!", "don't you'LL we've 'S", "a\tb\n\nc\x0b\x0cd\re", "x\u0085y z\u00a0w\u3000v \u2028", "\x1c\x1f\x00", "<|endoftext|> x<|STARTOFTEXT|>y<|startoftext|>",
+          "École ÀÉÎÕÜ Þß×÷ÿ ĀŽſŉĲ İstanbul ıIi", "e\u0301t E\u0301 A\u030a", "ΑΣ ΑΣ.Α", "\U0001f600\U0001f468\u200d\U0001f469 ok\U0001f600ok", "中文字 かな 한글", "½ ² ٣ 3rd x2y", "\uffff a\uffffb", "C++ a_b-c/d\\\\e [f]{g} \"h\" i=j@k~l^m`n", ""]
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """(units of the texts with their hashes, whether each is letters only).
+
+    A word of letters, digits and marks falls into its runs of each, in lower
+    case; letters are those of ASCII, Latin-1 and Latin Extended-A. Any other
+    word is one unit as it is.
+    """
+    n = len(data)
+    kind, low = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    after = data[np.minimum(lead + 1, max(n - 1, 0))]
+    # not the signs × and ÷, nor İ, which is two characters in lower case
+    fine = ~((data[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data[lead] == 0xC4) & (after == 0xB0))
+    lead, after = lead[fine], after[fine]
+    kind[lead] = kind[lead + 1] = _LETTER
+    capital = lead[(data[lead] == 0xC3) & (after <= 0x9E)]
+    low[capital + 1] += 0x20
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = edge[n] = True
+    space = kind == _SPACE
+    before, behind = np.ones(n, bool), np.ones(n, bool)
+    before[1:], behind[:-1] = space[:-1], space[1:]
+    start = np.flatnonzero(~space & (before | edge[:n]))
+    end = np.flatnonzero(~space & (behind | edge[1:])) + 1
+    whole = np.zeros(len(start), bool)
+    whole[np.searchsorted(start, np.flatnonzero(kind == _OTHER), side="right") - 1] = True
+    own = ragged(start[whole], (end - start)[whole])
+    low[own] = data[own]
+    turn = np.flatnonzero((kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1]) + 1
+    turn = turn[~edge[turn]]
+    turn = turn[~whole[np.searchsorted(start, turn, side="right") - 1]]
+    first = np.sort(np.concatenate([start, turn]), kind="stable")
+    word = np.searchsorted(start, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], n), end[word]) if len(first) else first
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    hashed = run_hash(prefix_hash(low.astype(np.uint64) + np.uint64(1)), first, last)
+    return Words(low, offsets, first, last, doc, hashed), ~whole[word] & (kind[first] == _LETTER)
 
 
 class Encoder:
-    """Ids of whole texts: the words of a text are encoded one by one, each distinct word once.
+    """Ids of whole texts, put together from those of their units, each distinct unit encoded once.
 
-    Every white-space character of the pattern separates tokens of these
-    vocabularies, which drop white space, so the ids of a text are those of
-    its words; ``by_words=False`` encodes texts whole, for other vocabularies.
+    Where all special tokens have a character that keeps a word whole, and
+    ``PROBES`` come out alike, the vocabulary parts texts at white space and
+    between letters, digits and marks, and drops white space, so that the ids
+    of a text are those of its units. Else, or with ``by_units=False``, whole
+    texts are encoded.
     """
 
-    def __init__(self, vocabulary: str, by_words: bool = True):
+    def __init__(self, vocabulary: str, by_units: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words = Tokenizer.from_file(vocabulary), by_words
-        # where the vocabulary folds case and parts letters from marks, a plain word goes to its model without the steps before
-        t = self.tokenizer
-        self.plain = (t.normalizer is not None and t.normalizer.normalize_str("Ab") == "ab"
-                      and [x for x, _ in t.pre_tokenizer.pre_tokenize_str("ab" + MARKS)] == ["ab", MARKS])
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        # a run of letters goes to the vocabulary's model without the steps before, its bytes as characters
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        self.chars = {b: b if b in own else None for b in range(256)}
+        self.chars |= {b: 256 + k for k, b in enumerate(b for b in range(256) if self.chars[b] is None)}
         self.forget()
-
-    def ids_of(self, text: str) -> list[int]:
-        match = PLAIN.fullmatch(text) if self.plain else None
-        if not match:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        letters, marks = match.groups()
-        letters = letters.lower()
-        ids = self.parts.get(letters)
-        if ids is None:
-            if len(self.parts) > KNOWN_PARTS:
-                self.parts = {}
-            ids = self.parts[letters] = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        if marks:
-            if marks not in self.parts:
-                self.parts[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
-            ids = ids + self.parts[marks]
-        return ids
+        self.by_units = by_units and self._parts()
+
+    def _parts(self) -> bool:
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not all((_KIND[np.frombuffer(t, np.uint8)] == _OTHER).any() for t in special):
+            return False
+        self.by_units = True
+        for text in PROBES:
+            data = np.frombuffer(text.encode(), np.uint8)
+            if self.encode(data, np.array([0, len(data)]))[0][:-1].tolist() != self.whole(text):
+                return False
+        return True
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
         self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used, self.parts = np.zeros(1 << 16, np.uint32), 0, {}
-
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        size, flat = [], []
-        for text in texts:
-            ids = self.ids_of(text)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, hashes: np.ndarray, texts: list[bytes], letters: np.ndarray) -> None:
+        size, flat, tokenize, chars = [], [], self.tokenizer.model.tokenize, self.chars
+        for text, plain in zip(texts, letters.tolist()):
+            if plain and (text.isascii() or b"\xc4" not in text and b"\xc5" not in text):  # in lower case already
+                ids = [t.id for t in tokenize(text.decode("latin-1").translate(chars))]
+            else:
+                ids = self.whole(text.decode())
             size.append(len(ids))
-            flat.extend(ids)
+            flat += ids
         size = np.array(size, np.int64)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(len(flat) + len(self.ids), np.uint32)])
@@ -97,21 +146,21 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their ends, number of ids of each)."""
         n = len(offsets) - 1
-        if not self.by_words:
+        if not self.by_units:
             raw = data.tobytes()
             got = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets, offsets[1:])], add_special_tokens=False)]
             return np.concatenate([np.append(x, END) for x in got]).astype(np.uint32), np.array([len(x) + 1 for x in got])
-        w = words(data, offsets, lower=False)
+        w, letters = units(data, offsets)
         distinct, example, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.hash, distinct), max(0, len(self.hash) - 1))
         new = np.flatnonzero(self.hash[place] != distinct) if len(self.hash) else np.arange(len(distinct))
         if len(new):
-            if len(self.hash) > KNOWN_WORDS:
+            if len(self.hash) > KNOWN_UNITS:
                 self.forget()
-                new = np.arange(len(distinct))  # all words of these texts, now that none is known
+                new = np.arange(len(distinct))  # all units of these texts, now that none is known
             raw, at = w.bytes_of(example[new])
             raw = raw.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+            self.learn(distinct[new], [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], letters[example[new]])
             place = np.searchsorted(self.hash, distinct)
         start, size = self.at[place][inverse], self.size[place][inverse]
         per_doc = np.bincount(w.doc, weights=size, minlength=n).astype(np.int64)
@@ -175,7 +224,7 @@ class TokenFile:
         return got[start - first * BLOCK:end - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, by_words: bool = True) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, by_units: bool = True) -> DataFrame:
     """Write the files; returns their index (part, path, n_docs, n_tokens, first_token), parts in the order of doc_id."""
     folder = folder or shared_path(docs.sparkSession, "tokens")
 
@@ -183,9 +232,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, by
         from pyspark import TaskContext
 
         global _encoder
-        key = (vocabulary, by_words)
+        key = (vocabulary, by_units)
         if globals().get("_encoder", (None,))[0] != key:
-            _encoder = (key, Encoder(vocabulary, by_words))
+            _encoder = (key, Encoder(vocabulary, by_units))
         encoder = _encoder[1]
 
         def encoded():
