@@ -17,6 +17,7 @@ from tillscope.operators import sampling as smp
 from tillscope.operators import series as ts
 from tillscope.operators import slices as sl
 from tillscope.plans.catalog import Query
+from tillscope.sources.inferred import read_inferred
 from tillscope.sources.transactions import export_slice, read_transactions
 
 YEAR = ("1998-01-01", "1998-12-31")
@@ -48,7 +49,14 @@ def csv_round_trip(c, df):
     return read_transactions(c.spark, path, "csv", schema)
 
 
+def inferred_round_trip(c):
+    path = shared_path(c.spark, "csv")
+    export_slice(c.raw, path)
+    return read_inferred(c.spark, path).rows
+
+
 add("csv_scan", RAW_COLS, lambda c: csv_round_trip(c, c.raw), "SELECT * FROM tx")
+add("csv_inferred", "order_id order_date:d age:i quantity:i product_price:8 discount_percentage:2 final_price:4 return_status state", inferred_round_trip, "SELECT * FROM tx")
 add("export_slice", RAW_COLS + " returned:i age_group disc_bucket order_month high_value:i price_bucket",
     lambda c: csv_round_trip(c, sl.slice_rows(c.full, **SLICE)), f"SELECT * FROM en WHERE {SLICE_SQL}")
 
