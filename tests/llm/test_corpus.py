@@ -560,3 +560,33 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, FOLDER).toPandas().sort_values("start")
     assert (got.start.iloc[1:].to_numpy() == (got.start + got.n_tokens).iloc[:-1].to_numpy()).all() and got.start.iloc[0] == 0
     assert got.doc_id.is_monotonic_increasing
+
+
+def test_neighbours_of_suffixes_against_all_pairs():
+    rng = np.random.default_rng(6)
+    span, base = suffixes.SPAN - 1, 31
+    for length in (50, 40):
+        n = 300
+        left, right = rng.integers(1, 3, (n, span)).astype(np.uint64), rng.integers(1, 3, (n, span)).astype(np.uint64)
+        for k in range(1, n):  # most share much with one before
+            j = int(rng.integers(0, k))
+            a, b = rng.integers(0, span + 1, 2)
+            left[k, :a], right[k, :b] = left[j, :a], right[j, :b]
+        first = rng.integers(0, 4, n).astype(np.uint64)
+        low = rng.integers(0, 40, n).astype(np.uint64)
+        high = np.where(rng.random(n) < 0.1, low + np.uint64(1), low)
+        have = rng.integers(0, span + 1, (n, 2))
+        for k in range(n):  # no words beyond the ends of a text
+            left[k, have[k, 0]:], right[k, have[k, 1]:] = 0, 0
+        got = suffixes.neighbours(first, left, right, low, high, have, base, length)
+        for k in range(n):
+            reach = np.full(span + 1, -1)
+            for j in range(n):
+                if first[j] == first[k] and (low[k] != high[k] if j == k else low[j] != high[j] or low[k] != high[k] or low[j] != low[k]):
+                    same = left[j] == left[k]
+                    a = min(span if same.all() else int(same.argmin()), have[k, 0], span if j == k else have[j, 0])
+                    same = right[j] == right[k]
+                    b = min(span if same.all() else int(same.argmin()), have[k, 1])
+                    reach[:a + 1] = np.maximum(reach[:a + 1], b)
+            fits = [(w, base + r) for w, r in enumerate(reach) if r >= 0 and w + base + r >= length]
+            assert (got[0][k], got[1][k]) == ((max(w for w, _ in fits), max(r for _, r in fits)) if fits else (0, 0))

@@ -39,6 +39,10 @@ from tillscope.functions.staging import shared_path, stage
 from tillscope.llm.common import Sorted, chunks, documents, in_shards, load_arrays, mixed, prefix_hash, run_hash, save_arrays, shard_count, top_bits, words
 
 LENGTH, SPAN, GRAM = 50, 20, 5
+#: Bytes of text that are worked on at a time; a longer text is one piece.
+PIECE = 1 << 20
+#: Ranges of extents for each range of first words, and suffixes that are sorted at a time, or as many as share their first words.
+FINER, BLOCK = 4, 1 << 15
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -76,7 +80,7 @@ def _index(docs: DataFrame, keys, name: str) -> tuple[str, int, dict[int, int]]:
     def pairs(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             who, at = batch.column("who").to_numpy(zero_copy_only=False).view(np.uint64), 0
-            for data, offsets in chunks(batch.column("text")):
+            for data, offsets in chunks(batch.column("text"), PIECE):
                 key, doc = keys(data, offsets)
                 yield key, who[at + doc], who[at + doc]
                 at += len(offsets) - 1
@@ -172,14 +176,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         at = at[(index.find(key) >= 0)[back]] if len(at) else at
         return w, at, _contexts(w, at, prefix, base)
 
-    folder, shards = shared_path(docs.sparkSession, "extents"), first[1]
+    folder, shards = shared_path(docs.sparkSession, "extents"), first[1] * FINER
     bits = shards.bit_length() - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Sorted(*first)
         for batch in batches:
             who, row = batch.column("who").to_numpy(zero_copy_only=False).view(np.uint64), 0
-            for data, offsets in chunks(batch.column("text")):
+            for data, offsets in chunks(batch.column("text"), PIECE):
                 w, at, (key, left, right, have) = met(index, data, offsets)
                 doc = who[row + w.doc[at]]
                 row += len(offsets) - 1
@@ -197,7 +201,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def extend(key, table):
         shard = key[0].as_py()
         rows = _distinct(np.concatenate([np.frombuffer(x.as_buffer(), "<u8").reshape(-1, width) for x in table["payload"]]))
-        left, right = neighbours(rows[:, 0], rows[:, 6:6 + SPAN - 1], rows[:, 6 + SPAN - 1:], rows[:, 2], rows[:, 3], rows[:, 4:6].astype(np.int64), base, length)
+        left, right = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))  # of suffixes with the same first words
+        cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, len(rows), BLOCK), side="right") - 1])
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            some = rows[a:b]
+            left[a:b], right[a:b] = neighbours(some[:, 0], some[:, 6:6 + SPAN - 1], some[:, 6 + SPAN - 1:], some[:, 2], some[:, 3], some[:, 4:6].astype(np.int64), base, length)
         found = np.flatnonzero(right)
         found = found[np.argsort(rows[found, 1])]
         save_arrays(f"{folder}/{shard:06d}", {"key": rows[found, 1], "left": left[found].astype(np.uint16), "right": right[found].astype(np.uint16)})
@@ -210,7 +219,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         suffix, opened = Sorted(*first), {}
         for text in texts:
             n_words, n_repeated, begin, end, count = [], [], [], [], []
-            for data, offsets in chunks(text):
+            for data, offsets in chunks(text, PIECE):
                 w, at, (key, left, right, have) = met(suffix, data, offsets)
                 name = _name(key, left, right, have)
                 go = np.zeros((len(at), 2), np.int64)
