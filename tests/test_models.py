@@ -176,3 +176,29 @@ def test_logistic_coefficients_equal_plain_newton(spark, tx):
     assert got == pytest.approx(dict(zip(["age", "delivery_days", "customer_segment_B", "customer_segment_C"], beta[1:])), abs=1e-8)
     want = sorted((1 / (1 + np.exp(-z[~train] @ beta))).tolist())
     assert sorted(r["score"] for r in scored.collect()) == pytest.approx(want, abs=1e-9)
+
+
+def test_draws_are_summed_where_rows_arrive(spark):
+    rows = spark.range(500).selectExpr("CAST(id % 5 AS INT) AS _bin0", "CAST(id % 3 AS INT) AS _bin1", "id % 4 > 0 AS train", "id AS q", "md5(CAST(id AS STRING)) AS digest")
+    text = forest._drawn(rows, ["_bin0", "_bin1"], 20)._jdf.queryExecution().executedPlan().toString()
+    text = text[:text.index("Initial Plan")] if "Initial Plan" in text else text
+    above = text[:text.index("Generate explode")]
+    assert above.count("Exchange") == 1  # of sums, not of draws
+    between = above[above.rindex("Exchange"):]
+    assert between.count("HashAggregate") == 2
+
+
+def test_rows_of_an_outsize_cell_are_dealt_over_tasks_with_the_same_forest(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id", "CAST(IF(id % 10 = 0, id % 7, 3) AS DOUBLE) AS a", "CAST(id % 13 AS DOUBLE) AS label", "id % 4 = 1 AS is_test")
+    kept = []
+    for most in (forest.CELL_ROWS, 20):
+        monkeypatch.setattr(forest, "CELL_ROWS", most)
+        bins = df.selectExpr("CAST(a AS INT) AS _bin0", "md5(CAST(id AS STRING)) AS digest")
+        parts = forest._dealt(bins, ["_bin0"]).groupBy("_bin0").agg(F.count_distinct("part").alias("n"), F.count("*").alias("rows"))
+        kept.append({r["_bin0"]: (r["n"], r["rows"]) for r in parts.collect()})
+        grown = forest.grow(df, ["a"], "label", ~F.col("is_test"), 1, ["id"], 5, 3)
+        kept.append([{r["id"]: r["fitted"] for r in forest.predicted(grown, df.where("is_test")).collect()},
+                     {tuple(r) for r in grown.splits.select("tree", "node", "feature", "bin", "w", "s", "wl", "sl").collect()}])
+    assert kept[1] == kept[3] and len(kept[1][0]) == 150
+    assert {n for n, _ in kept[0].values()} == {1} and kept[2][3][0] > 5
+    assert {b: rows for b, (_, rows) in kept[0].items()} == {b: rows for b, (_, rows) in kept[2].items()}

@@ -29,10 +29,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """How many tasks a shuffle has, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly over as many tasks as a shuffle has, at least one for each core."""
-    spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Deal rows evenly over as many tasks as a shuffle has."""
+    return df.repartition(shuffle_width(df.sparkSession))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

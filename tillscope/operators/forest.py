@@ -1,13 +1,15 @@
 """A regression forest grown level by level with DataFrame aggregates.
 
 Features are cut into bins once, at the midpoints between all values of a
-column with few of them, at exact quantiles otherwise. One pass over the facts
-draws each row's copies for every tree (Poisson with mean 1, from a hash of the row's
-key) and sums copies and label by tree and cell, a cell being one combination
-of bins. Those sums are all that a tree needs: further passes read cells, whose
+column with few of them, at exact quantiles otherwise. Rows are dealt by cell, a
+cell being one combination of bins; where they arrive, each row's copies are drawn
+for every tree (Poisson with mean 1, from a hash of the row's key), and copies and
+label are summed by tree and cell, so that one row travels and not its draws. Those
+sums are all that a tree needs: further passes read cells, whose
 number is bounded by the bins, however many rows there are. A level is one
 aggregate by (tree, node, feature, bin), running sums along the bins and the
-best split of each node.
+best split of each node. Cells lie by tree, so that they combine before they
+travel, and splits go to the cells while they are few.
 
 Labels are rounded to 2^-24 of their range, so sums are exact integers and a
 forest is the same on any partitioning. Nodes are numbered from 1; the children
@@ -25,8 +27,8 @@ from math import exp, factorial, frexp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.functions.order_stats import exact_quantiles, with_range
-from tillscope.functions.staging import stage
+from tillscope.functions.order_stats import GROUP_BROADCAST_LIMIT, exact_quantiles, with_range
+from tillscope.functions.staging import shuffle_width, stage
 from tillscope.operators.sampling import key_columns, row_digest
 
 TREES, DEPTH, MAX_BINS = 150, 14, 256
@@ -35,6 +37,10 @@ UNITS = 1 << 24
 MOST_COPIES = 17
 #: Levels at which cells are added up by bin before running sums.
 SHARED_LEVELS = 7
+#: Rows of a cell that one task draws for; a cell with more is dealt over several tasks if it has an outsize share of all rows.
+CELL_ROWS = 20_000
+#: Pieces by cell in which a tree's cells lie.
+SLOTS = 4
 
 
 @dataclass
@@ -89,9 +95,12 @@ def scale_of(df: DataFrame, label: str) -> tuple[float, float]:
 def _best_splits(cells: DataFrame, n_features: int, level: int) -> DataFrame:
     """The split of each node that lowers the squared error most; ties go to the first feature, then the lowest bin."""
     choices = ", ".join(f"struct({i} AS feature, _bin{i} AS bin)" for i in range(n_features))
-    by_bin = cells.where("w > 0").repartition("tree", "node").selectExpr("tree", "node", "w", "s", f"inline(array({choices}))")
+    own = cells.where("w > 0")
+    if level >= SHARED_LEVELS:
+        own = own.repartition("tree", "node")
+    by_bin = own.selectExpr("tree", "node", "w", "s", f"inline(array({choices}))")
     if level < SHARED_LEVELS:  # many cells of a node share a bin; further down the running sums take in the few that do
-        by_bin = by_bin.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+        by_bin = by_bin.groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).repartition("tree", "node")
     along = Window.partitionBy("tree", "node", "feature").orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("tree", "node", "feature")
     sums = by_bin.select("tree", "node", "feature", "bin", F.sum("w").over(along).alias("wl"), F.sum("s").over(along).alias("sl"),
@@ -103,6 +112,34 @@ def _best_splits(cells: DataFrame, n_features: int, level: int) -> DataFrame:
     return best.select("tree", "node", "x.feature", "x.bin", (-F.col("x.loss")).alias("gain"), "x.w", "x.s", "x.wl", "x.sl")
 
 
+def _dealt(marked: DataFrame, bins: Sequence[str]) -> DataFrame:
+    """``marked`` with the rows of a cell in one task, those of an outsize cell in several; ``part`` numbers them."""
+    tasks = shuffle_width(marked.sparkSession)
+    sizes = stage(marked.groupBy(*bins).agg(F.count("*").alias("n")), "cell-sizes")
+    most = max(CELL_ROWS, (sizes.agg(F.sum("n")).first()[0] or 0) // (4 * tasks))
+    # at most four a task, so few enough to broadcast
+    large = sizes.where(F.col("n") > most).select(*[F.col(b).alias(f"_{b}") for b in bins], F.ceil(F.col("n") / most).alias("_parts"))
+    on = reduce(Column.__and__, [F.col(b) == F.col(f"_{b}") for b in bins])
+    part = F.coalesce(F.pmod(F.xxhash64("digest"), F.col("_parts")), F.lit(0))
+    found = marked.join(F.broadcast(large), on, "left").withColumn("part", part)
+    return found.select(*marked.columns, "part").repartition(tasks, *bins, "part")
+
+
+def _drawn(marked: DataFrame, bins: Sequence[str], trees: int) -> DataFrame:
+    """Copies ``w``, their labels' sum ``s`` and whether a row is not trained on (``asked``), by tree and cell.
+
+    The copies are drawn after the rows have been dealt, so the sums by tree
+    need no shuffle of their own; only those sums travel on, to lie by tree.
+    """
+    drawn = _dealt(marked, bins).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = drawn.withColumn("u", F.shiftrightunsigned(F.xxhash64("digest", "tree"), 11) * F.lit(2.0 ** -53))
+    drawn = drawn.withColumn("w", F.when(F.col("train"), F.expr(copies("u"))).otherwise(0).cast("long")).where("w > 0 OR NOT train")
+    sums = (drawn.groupBy("tree", *bins, "part").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("train"), F.col("w") * F.col("q")).otherwise(0)).alias("s"),
+                                                     F.max(~F.col("train")).alias("asked")))
+    lying = sums.withColumn("slot", F.pmod(F.xxhash64(*bins), F.lit(SLOTS))).repartition(shuffle_width(marked.sparkSession), "tree", "slot")
+    return lying.groupBy("tree", "slot", *bins).agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.max("asked").alias("asked")).drop("slot")
+
+
 def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, seed: int = 42, key: Sequence[str] | None = None,
          trees: int = TREES, depth: int = DEPTH, max_bins: int = MAX_BINS) -> Forest:
     """Fit on the rows where ``train`` holds. ``rows`` is read several times and should be staged; no value may be missing."""
@@ -114,23 +151,20 @@ def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, se
     digest = row_digest(key or key_columns(rows), seed)
     marked = (binned(rows, features, cuts)
               .select(*bins, train.alias("train"), F.round((F.col(label).cast("double") - centre) / unit).cast("long").alias("q"), digest.alias("digest")))
-    drawn = marked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("u", F.shiftrightunsigned(F.xxhash64("digest", "tree"), 11) * F.lit(2.0 ** -53))
-    drawn = drawn.withColumn("w", F.when(F.col("train"), F.expr(copies("u"))).otherwise(0).cast("long")).where("w > 0 OR NOT train")
-    cells = (drawn.groupBy("tree", *bins).agg(F.sum("w").alias("w"), F.sum(F.when(F.col("train"), F.col("w") * F.col("q")).otherwise(0)).alias("s"),
-                                              F.max(~F.col("train")).alias("asked")))
-    cells = stage(cells.withColumn("node", F.lit(1)), "cells")
+    cells = stage(_drawn(marked, bins, trees).withColumn("node", F.lit(1)), "cells")
     root = cells.groupBy("tree").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).select("tree", F.lit(1).alias("node"), "w", "s")
 
     levels, finished = [], []
     for level in range(depth):
         best = stage(_best_splits(cells, len(features), level), "splits")
-        if best.isEmpty():
+        found = best.count()
+        if not found:
             break
         levels.append(best)
         here = best.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "feature", "bin")
         at = F.expr("CASE feature " + " ".join(f"WHEN {i} THEN _bin{i}" for i in range(len(features))) + " END")
-        moved = cells.join(here.hint("shuffle_hash"), (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")), "left").where("feature IS NOT NULL OR asked")
+        here = F.broadcast(here) if found <= GROUP_BROADCAST_LIMIT else here.hint("shuffle_hash")
+        moved = cells.join(here, (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")), "left").where("feature IS NOT NULL OR asked")
         inner = F.col("feature").isNotNull()
         moved = stage(moved.select("tree", *bins, "w", "s", "asked", inner.alias("inner"), F.when(inner, 2 * F.col("node") + (at > F.col("bin")).cast("int")).otherwise(F.col("node")).alias("node")), "cells")
         finished.append(moved.where("NOT inner"))
