@@ -26,6 +26,8 @@ ORDER = 5
 #: Distinct texts per language that a model is fitted on, and as many again, at most, that calibrate it.
 FIT_TEXTS = 400
 KNOWN_WORDS = 400_000
+#: Bytes of text scored at a time; what a worker holds besides the model follows from it.
+PIECE = 1 << 20
 _STEP, _SEP = np.uint64(0x2545F4914F6CDD1D), 0xFFFF
 
 
@@ -171,7 +173,7 @@ def _udf(packed, calibration: dict | None):
         model = dict(np.load(io.BytesIO(packed.value)))
         scorer, langs = Scorer(model), model["langs"].tolist()
         for text in texts:
-            parts = [scorer.entropies(*c)[0] for c in chunks(text)]
+            parts = [scorer.entropies(*c)[0] for c in chunks(text, PIECE)]
             e = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
             if calibration is None:
                 yield pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1) * len(langs), pa.int32()), pa.array(e.ravel()))
