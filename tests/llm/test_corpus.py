@@ -590,3 +590,37 @@ def test_neighbours_of_suffixes_against_all_pairs():
                     reach[:a + 1] = np.maximum(reach[:a + 1], b)
             fits = [(w, base + r) for w, r in enumerate(reach) if r >= 0 and w + base + r >= length]
             assert (got[0][k], got[1][k]) == ((max(w for w, _ in fits), max(r for _, r in fits)) if fits else (0, 0))
+
+
+def test_language_scores_a_megabyte_of_text_at_a_time(monkeypatch):
+    import io
+
+    import pyarrow as pa
+
+    from tillscope.llm import language
+
+    out, sizes = io.BytesIO(), []
+    np.savez(out, **language.train({"a": {"ab": 3, "ba": 1}, "b": {"xy": 2}}))
+    entropies = language.Scorer.entropies
+    monkeypatch.setattr(language.Scorer, "entropies", lambda self, data, offsets: sizes.append(len(data)) or entropies(self, data, offsets))
+    packed = type("Packed", (), {"value": out.getvalue()})
+    got = [*language._udf(packed, {"beta": 1.0, "limit": [9.0, 9.0]}).func(iter([pa.array(["ab ba " * 1000, "xy " * 2000, None] * 300)]))]
+    assert [len(x) for x in got] == [900] and got[0].field("lang").to_pylist()[:2] == ["a", "b"]
+    assert sum(sizes) == 12_000 * 300 and max(sizes) <= language.PIECE == 1 << 20
+
+
+def test_elias_fano_reads_mapped_arrays_as_plain_ones(tmp_path):
+    from tillscope.llm import ngram_trie
+
+    rng = np.random.default_rng(5)
+    for values in (np.arange(1000), np.sort(rng.integers(0, 1 << 40, 1000)), np.repeat(rng.integers(0, 300, 40).cumsum(), 25), np.zeros(1, np.int64)):
+        made = ngram_trie.EliasFano.arrays(values.astype(np.uint64), "x")
+        for k, v in made.items():
+            np.save(tmp_path / k, v)
+        ef = ngram_trie.EliasFano({k: np.load(tmp_path / f"{k}.npy", mmap_mode="r") for k in made}, "x")
+        assert type(ef.low) is type(ef.high) is type(ef.zeros) is np.ndarray
+        assert (ef[np.arange(len(values))] == values).all()
+        bits = np.unpackbits(ef.high.view(np.uint8), bitorder="little")
+        for ones in (True, False):
+            want = np.flatnonzero(bits == ones)
+            assert (ef._select(np.arange(len(want)), ones) == want).all()

@@ -36,7 +36,6 @@ ORDER, LEAST = 3, 1
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Steps of quantised probabilities and weights: this many for a factor of ten.
 STEPS = 32
-_COUNT = np.array([b.bit_count() for b in range(256)], np.int64)
 _NTH = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
@@ -44,7 +43,10 @@ class EliasFano:
     """A sequence of numbers that never falls: low bits packed, high bits as gaps in unary."""
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.low, self.high, self.zeros = (arrays[f"{name}_{x}"] for x in ("low", "high", "zeros"))
+        # as plain arrays: each slice of a mapped one is an object of its own
+        low, high, self.zeros = (np.asarray(arrays[f"{name}_{x}"]) for x in ("low", "high", "zeros"))
+        self.low = np.ndarray(len(low) - 7, "<u8", low, strides=1)  # the eight bytes from each byte on
+        self.high = high.view("<u8")
         self.width, self.count = (int(x) for x in arrays[f"{name}_size"])
 
     @staticmethod
@@ -66,21 +68,22 @@ class EliasFano:
         """Place of the k-th (from 0) one or zero."""
         upto = np.arange(len(self.zeros)) * 64 - self.zeros if ones else self.zeros
         word = np.searchsorted(upto, k, side="right") - 1
-        raw = self.high.reshape(-1, 8)[word]
-        raw = raw if ones else ~raw
-        count = _COUNT[raw]
-        total = count.cumsum(1)
-        rest = k - upto[word]
-        byte = (total > rest[:, None]).argmax(1)
-        row = np.arange(len(k))
-        return word * 64 + byte * 8 + _NTH[raw[row, byte], rest - total[row, byte] + count[row, byte]]
+        raw = self.high[word] if ones else ~self.high[word]
+        rest, place = k - upto[word], word * 64
+        for half in (32, 16, 8):  # the half of the bits left that has it
+            low = raw & np.uint64((1 << half) - 1)
+            count = np.bitwise_count(low)
+            above = rest >= count
+            rest = rest - count * above
+            place += above * half
+            raw = np.where(above, raw >> np.uint64(half), low)
+        return place + _NTH[raw.astype(np.int64), rest]
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(at), np.int64)
         bit = at * self.width
-        raw = self.low[(bit >> 3)[:, None] + np.arange(8)].view("<u8").ravel()
-        return (raw >> (bit & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.width) - 1)
+        return (self.low[bit >> 3] >> (bit & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.width) - 1)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         return ((self._select(at, True) - at) << self.width) | self.lows(at)
@@ -129,7 +132,9 @@ class Level:
                 self.open[s] = (arrays, EliasFano(arrays, "pointer"), EliasFano(arrays, "next"))
             arrays, pointer, following = self.open[s]
             own = slice(cuts[s], cuts[s + 1])
-            c, back = np.unique(context[own] - self.begin(s), return_inverse=True)
+            c = context[own] - self.begin(s)
+            new = np.concatenate([[True], c[1:] != c[:-1]])
+            c, back = c[new], np.cumsum(new) - 1
             g[own] = (10.0 ** (arrays["weight"][c] / -STEPS))[back]
             if not following.count:
                 continue
