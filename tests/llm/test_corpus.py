@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -592,13 +593,7 @@ def test_neighbours_of_suffixes_against_all_pairs():
             assert (got[0][k], got[1][k]) == ((max(w for w, _ in fits), max(r for _, r in fits)) if fits else (0, 0))
 
 
-def test_language_scores_a_megabyte_of_text_at_a_time(monkeypatch):
-    import io
-
-    import pyarrow as pa
-
-    from tillscope.llm import language
-
+def test_language_scores_a_megabyte_of_text_at_a_time(spark, monkeypatch):
     out, sizes = io.BytesIO(), []
     np.savez(out, **language.train({"a": {"ab": 3, "ba": 1}, "b": {"xy": 2}}))
     entropies = language.Scorer.entropies
@@ -610,8 +605,6 @@ def test_language_scores_a_megabyte_of_text_at_a_time(monkeypatch):
 
 
 def test_elias_fano_reads_mapped_arrays_as_plain_ones(tmp_path):
-    from tillscope.llm import ngram_trie
-
     rng = np.random.default_rng(5)
     for values in (np.arange(1000), np.sort(rng.integers(0, 1 << 40, 1000)), np.repeat(rng.integers(0, 300, 40).cumsum(), 25), np.zeros(1, np.int64)):
         made = ngram_trie.EliasFano.arrays(values.astype(np.uint64), "x")
