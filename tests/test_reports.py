@@ -151,3 +151,19 @@ def test_csv_round_trip(spark, tx):
     export_slice(df, path)
     back = read_transactions(spark, path, "csv", df.schema)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_overview_reads_rows_once_where_none_repeats(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    plain = spark.createDataFrame([(i, dt.date(2024, 1, 1 + i), None if i == 2 else 1.5) for i in range(9)], "id int, order_date date, v double")
+    row = quality.dq_overview(plain.mapInArrow(counted, plain.schema)).first()
+    assert (row["rows"], row["duplicates"], row["missing_cells"], row["complete_rows"], row["span_days"]) == (9, 0, 1, 8, 8)
+    assert reads.value == 9
+    twice = quality.dq_overview(plain.union(plain.where("id < 3"))).first()
+    assert (twice["rows"], twice["duplicates"]) == (12, 3)

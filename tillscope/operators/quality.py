@@ -7,35 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.functions.staging import stage
 from tillscope.model import NUM_COLS, present
 from tillscope.operators.metrics import missing, value_table
 from tillscope.operators.pivots import agg_transpose
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """Rows that repeat an earlier row, counted exactly.
 
-    Only row hashes are shuffled at first; whole rows are compared just for the
-    hashes that occur more than once. Copies combine before each shuffle.
+    Only row hashes (``_h``; ``hashes``: those of all rows, if at hand) are
+    shuffled at first; whole rows are read again and compared just for the
+    hashes that occur more than once, if any. Copies combine before each shuffle.
     """
     cols = df.columns
     hashed = df.withColumn("_h", F.xxhash64(*cols))
-    repeated = hashed.groupBy("_h").count().where("count > 1").select("_h")
+    seen = hashed.select("_h") if hashes is None else hashes
+    repeated = stage(seen.groupBy("_h").count().where("count > 1").select("_h"), "repeated")
+    if repeated.isEmpty():
+        return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicates"))
     kinds = (hashed.join(repeated, "_h", "left_semi").groupBy("_h", *cols)
              .agg(F.count("*").alias("_c")))
     return kinds.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates"))
 
 
 def dq_overview(raw: DataFrame) -> DataFrame:
-    """Size, duplicates, missing cells, complete rows and date span."""
+    """Size, duplicates, missing cells, complete rows and date span.
+
+    ``raw`` is read once, into a hash and a number of missing cells a row.
+    """
     width = len(raw.columns)
     gaps = [missing(raw, c).cast("int") for c in raw.columns]
-    per_row = sum(gaps[1:], gaps[0])
-    base = raw.agg(F.count("*").alias("rows"), F.sum(per_row.cast("long")).alias("missing_cells"),
-                   F.count_if(per_row == 0).alias("complete_rows"),
-                   F.datediff(F.max("order_date"), F.min("order_date")).alias("span_days"))
+    brief = stage(raw.select(F.xxhash64(*raw.columns).alias("_h"), sum(gaps[1:], gaps[0]).alias("_gaps"), "order_date"), "row-hashes")
+    base = brief.agg(F.count("*").alias("rows"), F.sum(F.col("_gaps").cast("long")).alias("missing_cells"),
+                     F.count_if(F.col("_gaps") == 0).alias("complete_rows"),
+                     F.datediff(F.max("order_date"), F.min("order_date")).alias("span_days"))
     rows = F.col("rows")
-    return (base.withColumn("duplicates", duplicate_rows(raw).scalar())
+    return (base.withColumn("duplicates", duplicate_rows(raw, brief.select("_h")).scalar())
             .select("rows", F.lit(width).alias("columns"), "duplicates",
                     (F.try_divide("duplicates", rows) * 100).alias("duplicate_pct"), "missing_cells",
                     (F.try_divide("missing_cells", rows * width) * 100).alias("missing_pct"),
