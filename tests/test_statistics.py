@@ -331,3 +331,29 @@ def test_exact_and_limiting_p_values_on_both_sides_of_the_switch(spark):
     long = rank_tests.ks_2samp(big, "g", "a", "b", "v").first()
     short = rank_tests.ks_2samp(big.where("v < 10000 or g = 'b'"), "g", "a", "b", "v").first()
     assert long["n_a"] == 10_001 and short["n_a"] == 10_000 and long["p_value"] == pytest.approx(short["p_value"], abs=0.02)
+
+
+def test_ranks_of_few_and_of_many_values_agree(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in (rng.integers(0, 4), rng.normal(), rng.integers(0, 30))) for _ in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    want = {c: [None if v is None else v for v in df.toPandas()[c].rank(method="average").astype(object).where(df.toPandas()[c].notna(), None)] for c in df.columns}
+    for limit in (50_000, 30, 0):  # all, some and no columns by broadcast
+        monkeypatch.setattr(correlation, "GROUP_BROADCAST_LIMIT", limit)
+        got = [tuple(r) for r in correlation.with_ranks(df, df.columns).collect()]
+        key = lambda t: tuple((v is None, v or 0) for v in t)
+        have = sorted((t for t in got if any(v is not None for v in t)), key=key)
+        assert have == sorted((t for t in zip(*want.values()) if any(v is not None for v in t)), key=key)
+
+
+def test_cells_of_few_values_do_not_travel(spark):
+    df = spark.range(2000).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    seen = []
+    kept = correlation.stage
+    try:
+        correlation.stage = lambda d, name: (seen.append((name, d._jdf.queryExecution().executedPlan().toString())), kept(d, name))[1]
+        correlation.with_ranks(df, ["a", "b"]).count()
+    finally:
+        correlation.stage = kept
+    plan = dict(seen)["ranked-rows"]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tillscope.functions import special as sp
 from tillscope.functions.moments import corr, correlation
-from tillscope.functions.order_stats import average_rank, is_number, ranked_counts
-from tillscope.functions.staging import stage
+from tillscope.functions.order_stats import GROUP_BROADCAST_LIMIT, average_rank, is_number, ranked_counts
+from tillscope.functions.staging import shuffle_width, stage
 from tillscope.operators.group_tests import flag
 from tillscope.operators.metrics import stacked
 
@@ -48,19 +48,36 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace every column by the average rank of its present values, and stage the result.
 
-    Rows get an id in a staged copy, so that it stays the same if a task is
-    run again. Cells meet the rank of their value in one join for all columns,
-    and return to rows in one aggregate by id. Ranks are found on the distinct
-    values: one shared by many rows is one row of the rank table, and the side
-    of the cells is split by AQE where it is skewed. Rows without any value are
-    left out.
+    Ranks are found on the distinct values. Those of a column with few values
+    are broadcast to the rows. Cells of the other columns meet the rank of
+    their value in one join, and return to rows in one aggregate by id, each
+    cell as an id, a column's number and a rank; rows get the id in a staged
+    copy, so that it stays the same if a task is run again. A value shared by
+    many rows is one row of the rank table, and the side of the cells is split
+    by AQE where it is skewed. Rows without any value count in no correlation.
     """
     rows = stage(df.select(F.monotonically_increasing_id().alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols]), "rows")
-    counts = stacked(rows, cols).groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = stage(stacked(rows, cols).groupBy("column", "value").agg(F.count("*").alias("n")), "value-counts")  # read several times
     ranks = stage(ranked_counts(counts, ["value"], ["n"], ["column"])
                   .select("column", "value", average_rank().alias("rank")), "ranks")
-    cells = stacked(rows, cols, ["_id"]).join(ranks, ["column", "value"])
-    back = cells.groupBy("_id").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in cols])
+    levels = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}  # one row a column
+    many = [c for c in cols if levels.get(c, 0) > GROUP_BROADCAST_LIMIT]
+    few = [c for c in cols if c not in many]
+    near = rows
+    for i, c in enumerate(few):
+        told = ranks.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("rank").alias(f"_r{i}"))
+        near = near.join(F.broadcast(told), F.col(f"`{c}`") == F.col("_v"), "left").drop("_v")
+    own = [F.col(f"_r{i}").alias(c) for i, c in enumerate(few)]
+    if not many:
+        return stage(near.select(*own), "ranked-rows")
+    number = F.expr("CASE column " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(many)) + " END")
+    far = stacked(rows, many, ["_id"]).join(ranks.where(F.col("column").isin(many)), ["column", "value"])
+    none = F.lit(None).cast("double")
+    cells = (far.select("_id", number.alias("_n"), "rank", *[none.alias(f"_r{i}") for i in range(len(few))])
+             .unionByName(near.select("_id", F.lit(-1).alias("_n"), none.alias("rank"), *[f"_r{i}" for i in range(len(few))]))) if few else far.select("_id", number.alias("_n"), "rank")
+    # a cell meets no other of its row before the shuffle, so nothing is added up there
+    back = cells.repartition(shuffle_width(df.sparkSession), "_id").groupBy("_id").agg(
+        *[F.max(F.when(F.col("_n") == i, F.col("rank"))).alias(c) for i, c in enumerate(many)], *[F.max(f"_r{i}").alias(c) for i, c in enumerate(few)])
     return stage(back.select(*cols), "ranked-rows")
 
 

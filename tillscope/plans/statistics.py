@@ -29,7 +29,7 @@ def matrix_sql(source, names):
 
 
 add("corr_matrix_pearson", "x y r:6", lambda c: co.corr_matrix(c.flat(*NUM_COLS), NUM_COLS), matrix_sql("en", NUM_COLS))
-add("corr_matrix_spearman", "x y r:6", lambda c: co.corr_matrix(c.flat(*NUM_COLS), NUM_COLS, "spearman"),
+add("corr_matrix_spearman", "x y r:6", lambda c: co.corr_matrix(c.df.select(*NUM_COLS), NUM_COLS, "spearman"),
     "rk AS (SELECT " + ", ".join(
         f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS {x}" for x in NUM_COLS)
     + " FROM en)\n---\n" + matrix_sql("rk", NUM_COLS))
