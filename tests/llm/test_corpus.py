@@ -617,3 +617,43 @@ def test_elias_fano_reads_mapped_arrays_as_plain_ones(tmp_path):
         for ones in (True, False):
             want = np.flatnonzero(bits == ones)
             assert (ef._select(np.arange(len(want)), ones) == want).all()
+
+
+def test_what_a_shard_gets_is_combined_by_ranges_of_keys():
+    rng = np.random.default_rng(8)
+    parts = [[k, k + np.uint64(1)] for k in (np.sort(rng.integers(0, top, n)).astype(np.uint64) for top, n in ((50, 3000), (10 ** 6, 9000), (1, 700), (10 ** 6, 1)))]
+    pieces = [*common.by_range(parts, 2000)]
+    own = [np.concatenate([p[0] for p in piece]) for piece in pieces]
+    assert len(own) > 4 and all(a.max() < b.min() for a, b in zip(own, own[1:]))
+    assert all(len(x) <= 2000 or len(np.unique(x)) == 1 for x in own)
+    assert np.sort(np.concatenate(own)).tolist() == np.sort(np.concatenate([p[0] for p in parts])).tolist()
+    assert all((a + np.uint64(1) == b).all() for piece in pieces for a, b in piece)
+    assert len([*common.by_range(parts, 20_000)]) == 1
+
+
+def test_trie_shares_out_frequent_contexts(spark):
+    """The followers of a few frequent contexts, whose numbers lie together, don't meet in one shard."""
+    rows = [{"shard": s, "n": 1000} | ngram_trie._runs(np.where(np.arange(1000) < 100, 900 if s == 3 else 1, 1)) for s in range(8)]
+    begins = ngram_trie._begins(rows, 8)
+    count = np.concatenate([np.where(np.arange(1000) < 100, 900 if s == 3 else 1, 1) for s in range(8)])
+    seen = np.add.reduceat(count, begins[:-1])
+    assert begins[0] == 0 and begins[-1] == 8000 and (np.diff(begins) > 0).all()
+    assert seen.max() < 2.2 * count.sum() / 8 and np.diff(begins).max() <= 2 * 1000
+    assert ngram_trie._begins([], 4).tolist() == [0] * 5 and ngram_trie._begins([{"shard": 2, "n": 1, "ends": [1], "upto": [5]}], 2).tolist()[-1] == 1
+    common.ship(spark)
+    texts = spark.createDataFrame([(" ".join(f"the w{i % 97} the x{i * j % 41}" for i in range(60)),) for j in range(40)], "text string").repartition(4)
+    many, one = ngram_trie.fit(texts), ngram_trie.fit(texts.coalesce(1))
+    assert len(many.levels[0][2]) == 5 and len(one.levels[0][2]) == 2
+    for a, b in zip(many.levels, one.levels):
+        assert sum(a[3].values()) == sum(b[3].values())
+    assert ngram_trie.score(texts, many).select("lm.*").exceptAll(ngram_trie.score(texts, one).select("lm.*")).isEmpty()
+
+
+def test_trie_packs_low_bits_in_pieces(monkeypatch):
+    values = np.sort(np.random.default_rng(3).integers(0, 1 << 40, 1000)).astype(np.uint64)
+    whole = ngram_trie.EliasFano.arrays(values, "x")
+    sizes, pack = [], ngram_trie.pack_bits
+    monkeypatch.setattr(ngram_trie, "PACKED", 64)
+    monkeypatch.setattr(ngram_trie, "pack_bits", lambda v, width: sizes.append(len(v)) or pack(v, width))
+    pieces = ngram_trie.EliasFano.arrays(values, "x")
+    assert max(sizes) == 64 and sum(sizes) == 1000 and all((whole[k] == pieces[k]).all() for k in whole)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that are worked on at a time; a longer text is one piece.
 CHUNK = 4 << 20
+#: Rows that a shard's task combines at a time.
+GATHERED = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -253,6 +255,18 @@ def shard_count(df: DataFrame) -> int:
     return 1 << max(0, df.rdd.getNumPartitions() - 1).bit_length()
 
 
+def by_range(parts: list, rows: int):
+    """``parts``, tuples of arrays sorted by the first, cut at the same keys: lists of tuples with about ``rows`` rows, more only where one key has them."""
+    total = sum(len(p[0]) for p in parts)
+    step = max(1, rows // (2 * len(parts)))
+    some = np.sort(np.concatenate([p[0][step - 1::step] for p in parts]))  # every step-th key, so at most a step of each part lies between two
+    keys = np.unique(some[max(1, rows // (2 * step))::max(1, rows // (2 * step))]) if total > rows else some[:0]
+    cuts = [[0, *np.searchsorted(p[0], keys).tolist(), len(p[0])] for p in parts]
+    for k in range(len(keys) + 1):
+        if any(own[k] < own[k + 1] for own in cuts):
+            yield [[c[own[k]:own[k + 1]] for c in p] for p, own in zip(parts, cuts)]
+
+
 def in_shards(df: DataFrame, pairs, combine, shard_of, finish, schema: str) -> DataFrame:
     """Exchange numbers as packed arrays, and run ``finish`` on the arrays of each shard.
 
@@ -260,6 +274,7 @@ def in_shards(df: DataFrame, pairs, combine, shard_of, finish, schema: str) -> D
     combine(columns): the tuple with one row per key, sorted; applied as soon
     as a task holds many rows and once at its end, so that a frequent key costs
     a row per task. finish(shard, columns): a dictionary with a row of ``schema``.
+    What tasks sent to a shard is combined by ranges of keys, ``GATHERED`` rows at a time.
     """
 
     def deal(batches):
@@ -282,7 +297,8 @@ def in_shards(df: DataFrame, pairs, combine, shard_of, finish, schema: str) -> D
     def gather(key, table):
         width = table["width"][0].as_py()
         parts = [np.frombuffer(x.as_buffer(), "<u8").reshape(width, -1) for x in table["payload"]]
-        row = finish(key[0].as_py(), combine([np.concatenate([p[k] for p in parts]) for k in range(width)]))
+        pieces = [combine([np.concatenate(c) for c in zip(*piece)]) for piece in by_range(parts, GATHERED)]
+        row = finish(key[0].as_py(), [np.concatenate(c) for c in zip(*pieces)])
         return pa.Table.from_pylist([row])
 
     return df.mapInArrow(deal, "shard int, payload binary, width int").groupBy("shard").applyInArrow(gather, schema)

@@ -6,7 +6,9 @@ tokens that follow it at least ``LEAST`` times, which is all of them: an Elias-F
 pointers to where each context's successors begin, an Elias-Fano sequence of
 the successors themselves (made monotone by adding the last value of the
 context before), and quantised probabilities. Levels are split by ranges of
-contexts into files of the shared folder, which tasks map into memory.
+contexts into files of the shared folder, which tasks map into memory. A range
+has about its share of the contexts and of their occurrences, so that frequent
+contexts don't meet in one task.
 
 Smoothing is Witten-Bell: with c(h) followers of a context, T(h) of them
 distinct, p(w | h) = c(hw) / (c(h) + T(h)) + g(h) p(w | shorter h), where g(h)
@@ -29,13 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tillscope.functions.staging import shared_path, stage
-from tillscope.llm.common import Sorted, chunks, documents, in_shards, learns, load_arrays, save_arrays, shard_count, top_bits, words
+from tillscope.llm.common import Sorted, chunks, documents, in_shards, learns, load_arrays, pack_bits, save_arrays, shard_count, top_bits, words
 
 ORDER, LEAST = 3, 1
 #: The end token's hash; a word has this hash with a chance of 2^-64.
 END = np.uint64(0x0E0E0E0E0E0E0E0E)
 #: Steps of quantised probabilities and weights: this many for a factor of ten.
 STEPS = 32
+#: Bytes of text that are worked on at a time; a longer text is one piece.
+PIECE = 2 << 20
+#: Values whose low bits are packed at a time; a multiple of 8, so that pieces end with whole bytes.
+PACKED = 1 << 16
+#: Runs of n-grams whose occurrences each shard reports.
+RUNS = 64
 _NTH = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
@@ -57,11 +65,8 @@ class EliasFano:
         bits = np.zeros(-(-(n + (top >> width) + 2) // 64) * 64, np.uint8)
         bits[place] = 1
         high = np.packbits(bits, bitorder="little")
-        zeros = np.concatenate([[0], np.cumsum(64 - bits.reshape(-1, 64).sum(1, dtype=np.int64))])
-        low = np.zeros(0, np.uint8)
-        if width:
-            raw = np.unpackbits((values & np.uint64((1 << width) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            low = np.packbits(raw[:, :width], bitorder="little")
+        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high.view("<u8")).astype(np.int64))])
+        low = np.frombuffer(b"".join(pack_bits(values[i:i + PACKED], width) for i in range(0, n if width else 0, PACKED)), np.uint8)
         return {f"{name}_low": np.append(low, np.zeros(8, np.uint8)), f"{name}_high": high, f"{name}_zeros": zeros, f"{name}_size": np.array([width, n])}
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
@@ -112,19 +117,18 @@ class EliasFano:
 class Level:
     """Successors of all contexts of one order, in files by ranges of contexts."""
 
-    def __init__(self, folder: str, shards: int, contexts: int, sizes: dict[int, int]):
-        self.folder, self.shards, self.contexts, self.open = folder, shards, contexts, {}
+    def __init__(self, folder: str, shards: int, begins: np.ndarray, sizes: dict[int, int]):
+        self.folder, self.shards, self.begins, self.open = folder, shards, begins, {}
         self.sizes = np.array([sizes.get(s, 0) for s in range(shards)], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.sizes)])
 
-    def begin(self, shard: np.ndarray | int):
-        """First context of a shard."""
-        return -(-shard * self.contexts // self.shards)
+    def shard_of(self, context: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, context, side="right") - 1
 
     def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node or -1, probability of the node, weight of the shorter context) for pairs sorted by context; token -1 is in no node."""
         node, p, g = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        shard = context * self.shards // max(self.contexts, 1)
+        shard = self.shard_of(context)
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             if s not in self.open:
@@ -132,7 +136,7 @@ class Level:
                 self.open[s] = (arrays, EliasFano(arrays, "pointer"), EliasFano(arrays, "next"))
             arrays, pointer, following = self.open[s]
             own = slice(cuts[s], cuts[s + 1])
-            c = context[own] - self.begin(s)
+            c = context[own] - self.begins[s]
             new = np.concatenate([[True], c[1:] != c[:-1]])
             c, back = c[new], np.cumsum(new) - 1
             g[own] = (10.0 ** (arrays["weight"][c] / -STEPS))[back]
@@ -152,8 +156,35 @@ class Level:
 
 
 def _summed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(columns[0], return_inverse=True)
-    return key, np.bincount(back, weights=columns[1], minlength=len(key)).astype(np.uint64)
+    order = np.argsort(columns[0], kind="stable")
+    key, count = columns[0][order], columns[1][order]
+    if not len(key):
+        return key, count
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(count, first)
+
+
+def _runs(count: np.ndarray) -> dict:
+    """Ends of up to ``RUNS`` runs of n-grams that occur about equally often, and how often those up to each end do."""
+    upto = np.cumsum(count.astype(np.int64))
+    end = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, RUNS + 1) // RUNS)) if len(upto) else np.zeros(0, np.int64)
+    return {"ends": (end + 1).tolist(), "upto": upto[end].tolist()}
+
+
+def _begins(rows: list, shards: int) -> np.ndarray:
+    """First n-gram of each shard of the next level, and the end: a shard has at most twice its share of n-grams or occurrences, or one n-gram."""
+    node, seen, ends, upto = 0, 0, [0], [0]
+    for r in sorted(rows, key=lambda r: r["shard"]):
+        ends += [node + x for x in r["ends"]]
+        upto += [seen + x for x in r["upto"]]
+        node, seen = node + r["n"], upto[-1]
+    if ends[-1] < node:
+        ends, upto = [*ends, node], [*upto, seen]
+    ends, upto = np.array(ends, np.int64), np.array(upto, np.int64)
+    share = ends / max(node, 1) + upto / max(seen, 1)
+    begins = np.interp(np.arange(shards + 1) * 2 / shards, share, ends).astype(np.int64)
+    begins[0], begins[-1] = 0, node
+    return begins
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -238,7 +269,7 @@ class Trie:
 
 def _batches(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        yield from chunks(batch.column("text"))
+        yield from chunks(batch.column("text"), PIECE)
 
 
 def fit(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> Trie:
@@ -253,25 +284,24 @@ def fit(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> Trie:
 
     def save_singles(shard: int, columns) -> dict:
         save_arrays(f"{folder}/1/{shard:06d}", {"key": columns[0], "count": columns[1]})
-        return {"shard": shard, "n": len(columns[0]), "total": int(columns[1].sum())}
+        return {"shard": shard, "n": len(columns[0]), "total": int(columns[1].sum())} | _runs(columns[1])
 
-    rows = stage(in_shards(texts, singles, _summed, top_bits(shards), save_singles, "shard long, n long, total long"), "level").collect()
+    rows = stage(in_shards(texts, singles, _summed, top_bits(shards), save_singles, "shard long, n long, total long, ends array<long>, upto array<long>"), "level").collect()
     trie = Trie((f"{folder}/1", shards, {r["shard"]: r["n"] for r in rows}), sum(r["total"] for r in rows))
-    nodes = trie.size
+    begins = _begins(rows, shards)
     for n in range(2, order + 1):
-        if not nodes:
+        if not begins[-1]:
             break
-        trie = _next(texts, trie, f"{folder}/{n}", shards, nodes, least)
-        nodes = sum(trie.levels[-1][3].values())
+        trie, begins = _next(texts, trie, f"{folder}/{n}", begins, least)
     return trie
 
 
-def _next(texts: DataFrame, trie: Trie, folder: str, shards: int, contexts: int, least: int) -> Trie:
-    """The trie with one more level. ``contexts``: number of n-grams of the last one."""
-    size = max(trie.size, 1)
-    if contexts * size >= 1 << 63:
+def _next(texts: DataFrame, trie: Trie, folder: str, begins: np.ndarray, least: int) -> tuple[Trie, np.ndarray]:
+    """The trie with one more level, and ``begins`` for the level after. ``begins``: first context of each shard, and the end."""
+    size, shards = max(trie.size, 1), len(begins) - 1
+    if int(begins[-1]) * size >= 1 << 63:
         raise ValueError("a context and a token no longer fit one number")
-    v, level = np.uint64(size), Level(folder, shards, contexts, {})
+    v, level = np.uint64(size), Level(folder, shards, begins, {})
 
     def pairs(batches):
         for data, offsets in _batches(batches):
@@ -281,13 +311,14 @@ def _next(texts: DataFrame, trie: Trie, folder: str, shards: int, contexts: int,
 
     def save(shard: int, columns) -> dict:
         key, count = columns[0], columns[1].astype(np.float64)
-        low, high = level.begin(shard), level.begin(shard + 1)
+        low, high = begins[shard], begins[shard + 1]
         context, token = (key // v).astype(np.int64) - low, (key % v).astype(np.int64)
         total, kinds = np.bincount(context, weights=count, minlength=high - low), np.bincount(context, minlength=high - low)
         keep = count >= least
         rare = np.bincount(context[~keep], weights=count[~keep], minlength=high - low)
         weight = np.where(total > 0, (kinds + rare) / np.maximum(total + kinds, 1), 1.0)
-        context, token, count = context[keep], token[keep], count[keep]
+        if not keep.all():
+            context, token, count = context[keep], token[keep], count[keep]
         size = np.bincount(context, minlength=high - low)
         pointer = np.concatenate([[0], np.cumsum(size)])
         # the last value of each context so far: sums of the last tokens of the contexts that have any
@@ -295,17 +326,17 @@ def _next(texts: DataFrame, trie: Trie, folder: str, shards: int, contexts: int,
         base = np.concatenate([[0], np.cumsum(last)])[:-1]
         save_arrays(f"{folder}/{shard:06d}", EliasFano.arrays(pointer.astype(np.uint64), "pointer") | EliasFano.arrays((token + base[context]).astype(np.uint64), "next")
                     | {"chance": _quantised(count / (total + kinds)[context]), "weight": _quantised(weight)})
-        return {"shard": shard, "n": len(token)}
+        return {"shard": shard, "n": len(token)} | _runs(count)
 
     def shard_of(key: np.ndarray) -> np.ndarray:
-        return (key // v).astype(np.int64) * shards // contexts
+        return level.shard_of((key // v).astype(np.int64))
 
-    rows = stage(in_shards(texts, pairs, _summed, shard_of, save, "shard long, n long"), "level").collect()
+    rows = stage(in_shards(texts, pairs, _summed, shard_of, save, "shard long, n long, ends array<long>, upto array<long>"), "level").collect()
     sizes = {r["shard"]: r["n"] for r in rows}
     for s in range(shards):  # contexts without any follower still need their range
         if s not in sizes:
             save(s, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-    return Trie(trie.vocabulary, trie.total, (*trie.levels, (folder, shards, contexts, sizes)))
+    return Trie(trie.vocabulary, trie.total, (*trie.levels, (folder, shards, begins, sizes))), _begins(rows, shards)
 
 
 def score(docs: DataFrame, trie: Trie, name: str = "lm") -> DataFrame:
@@ -314,7 +345,7 @@ def score(docs: DataFrame, trie: Trie, name: str = "lm") -> DataFrame:
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             parts = []
-            for c in chunks(text):
+            for c in chunks(text, PIECE):
                 hashes, first = tokens(*c)
                 base, p, count = trie.log10(hashes, first)
                 parts.append((np.diff(first), *(np.add.reduceat(x, first[:-1]) for x in ((count > 0).astype(np.int64), base, p))))
