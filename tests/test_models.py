@@ -202,3 +202,51 @@ def test_rows_of_an_outsize_cell_are_dealt_over_tasks_with_the_same_forest(spark
     assert kept[1] == kept[3] and len(kept[1][0]) == 150
     assert {n for n, _ in kept[0].values()} == {1} and kept[2][3][0] > 5
     assert {b: rows for b, (_, rows) in kept[0].items()} == {b: rows for b, (_, rows) in kept[2].items()}
+
+
+def staged(spark, since=()):
+    """Names of the staged tables, of those that are not in ``since``."""
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    return [p for p in root.iterdir() if p not in since]
+
+
+def test_nodes_of_few_cells_grow_where_they_arrive_to_the_same_forest(spark, monkeypatch):
+    df = spark.range(900).selectExpr("id", "CAST(id * 7 % 31 AS DOUBLE) AS a", "CAST(id * id % 17 AS DOUBLE) AS b", "CAST(id * 31 % 101 + id % 3 AS DOUBLE) AS label", "id % 4 = 1 AS is_test")
+    kept = []
+    for most in (0, 200, forest.NODE_CELLS):  # level by level; the lower levels in tasks; all in tasks
+        monkeypatch.setattr(forest, "NODE_CELLS", most)
+        before = staged(spark)
+        grown = forest.grow(df, ["a", "b"], "label", ~F.col("is_test"), 1, ["id"], 6, 7)
+        cells = sum(p.name.startswith("cells-") for p in staged(spark, before))
+        fitted = {r["id"]: r["fitted"] for r in forest.predicted(grown, df.where("is_test")).collect()}
+        rows = grown.splits.select("tree", "node", "feature", "bin", "gain", "w", "s", "wl", "sl").collect()
+        kept.append((cells, fitted, set(map(tuple, rows)), len(rows), {r["feature"]: r["importance"] for r in forest.importances(grown).collect()}))
+    (a, fitted, splits, n, share), *others = kept
+    assert a == 8 and 1 < others[0][0] < 6 and others[1][0] == 1  # cells are written once, not at every level
+    assert len(fitted) == 225 and len(splits) == n > 150
+    for _, f, x, m, i in others:
+        assert f == pytest.approx(fitted, rel=1e-12) and x == splits and m == n and i == pytest.approx(share, rel=1e-12)
+
+
+def test_one_row_a_cell_travels_of_rows_that_are_not_trained_on(spark):
+    rows = spark.range(500).selectExpr("CAST(id % 5 AS INT) AS _bin0", "id % 4 > 0 AS train", "id AS q", "md5(CAST(id AS STRING)) AS digest")
+    dealt, deal = [], forest._dealt
+    try:
+        forest._dealt = lambda marked, bins: dealt.append(marked) or deal(marked, bins)
+        cells = forest._drawn(rows, ["_bin0"], 20)
+    finally:
+        forest._dealt = deal
+    assert {(r["train"], r["digest"] and len(r["digest"])): r["count"] for r in dealt[0].groupBy("train", "digest").count().collect()}.keys() == {(True, 16), (False, None)}
+    assert dealt[0].where("NOT train").count() == 5 and dealt[0].where("train").count() == 375
+    assert cells.where("asked").count() == 100
+
+
+def test_models_stage_neither_digests_nor_assembled_features(spark):
+    df = spark.range(400).selectExpr("CAST(id AS STRING) AS id", "CAST(id % 9 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS y", "'not used' AS more")
+    before = staged(spark)
+    out = regression.forest_predictions(df, ["a"], "y", key=["id"], trees=2, depth=2)
+    assert out.count() == 100
+    names = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)).columns for p in staged(spark, before) if p.name.startswith(("rows-", "model-input-", "digests-"))}
+    assert names == {"rows": ["id", "a", "y"], "model-input": ["a", "id", "label", "is_test"]}

@@ -1,10 +1,7 @@
 """Helpers of the corpus operators: words of whole texts, ranks, files in the shared folder."""
 
 import json
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions.staging import ship
+
 #: A word, as a Java regular expression: no ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that are worked on at a time; a longer text is one piece.
@@ -30,20 +29,6 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's modules, which the column functions need; once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_tillscope", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="tillscope-"), "tillscope.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for p in sorted(package.rglob("*.py")):
-            out.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._tillscope = True
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")

@@ -9,7 +9,9 @@ sums are all that a tree needs: further passes read cells, whose
 number is bounded by the bins, however many rows there are. A level is one
 aggregate by (tree, node, feature, bin), running sums along the bins and the
 best split of each node. Cells lie by tree, so that they combine before they
-travel, and splits go to the cells while they are few.
+travel, and splits go to the cells while they are few. As soon as no node has
+more than ``NODE_CELLS`` cells, those of a node travel once more, and the levels
+below it grow where they arrive.
 
 Labels are rounded to 2^-24 of their range, so sums are exact integers and a
 forest is the same on any partitioning. Nodes are numbered from 1; the children
@@ -24,11 +26,13 @@ from dataclasses import dataclass
 from functools import reduce
 from math import exp, factorial, frexp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import GROUP_BROADCAST_LIMIT, exact_quantiles, with_range
-from tillscope.functions.staging import shuffle_width, stage
+from tillscope.functions.staging import ship, shuffle_width, stage
 from tillscope.operators.sampling import key_columns, row_digest
 
 TREES, DEPTH, MAX_BINS = 150, 14, 256
@@ -41,6 +45,8 @@ SHARED_LEVELS = 7
 CELL_ROWS = 20_000
 #: Pieces by cell in which a tree's cells lie.
 SLOTS = 4
+#: Cells of a node below which one task grows it to its leaves.
+NODE_CELLS = 1 << 17
 
 
 @dataclass
@@ -130,8 +136,12 @@ def _drawn(marked: DataFrame, bins: Sequence[str], trees: int) -> DataFrame:
 
     The copies are drawn after the rows have been dealt, so the sums by tree
     need no shuffle of their own; only those sums travel on, to lie by tree.
+    Of rows that are not trained on, one for each cell travels.
     """
-    drawn = _dealt(marked, bins).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    own = marked.where("train").withColumn("digest", F.unhex("digest"))
+    asked = marked.where("NOT train").select(*bins).distinct().select(*bins, F.lit(False).alias("train"), F.lit(0).cast("long").alias("q"), F.lit(None).cast("binary").alias("digest"))
+    dealt = _dealt(own.select(*bins, "train", "q", "digest").union(asked), bins).withColumn("digest", F.lower(F.hex("digest")))
+    drawn = dealt.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = drawn.withColumn("u", F.shiftrightunsigned(F.xxhash64("digest", "tree"), 11) * F.lit(2.0 ** -53))
     drawn = drawn.withColumn("w", F.when(F.col("train"), F.expr(copies("u"))).otherwise(0).cast("long")).where("w > 0 OR NOT train")
     sums = (drawn.groupBy("tree", *bins, "part").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("train"), F.col("w") * F.col("q")).otherwise(0)).alias("s"),
@@ -140,6 +150,72 @@ def _drawn(marked: DataFrame, bins: Sequence[str], trees: int) -> DataFrame:
     return lying.groupBy("tree", "slot", *bins).agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.max("asked").alias("asked")).drop("slot")
 
 
+def _splits_in(node: np.ndarray, bins: list[np.ndarray], w: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
+    """What ``_best_splits`` finds for the nodes of some cells with copies, in ascending order of nodes."""
+    found = []
+    for f, own in enumerate(bins):
+        order = np.lexsort((own, node))
+        n, b, cw, cs = node[order], own[order], np.cumsum(w[order]), np.cumsum(s[order])
+        last = np.append(n[1:] != n[:-1], True)
+        ends = np.flatnonzero(last | np.append(b[1:] != b[:-1], True))  # of the cells of a node and bin
+        stop = np.flatnonzero(last)
+        at = np.searchsorted(stop, ends)
+        before = np.concatenate([[-1], stop[:-1]])[at]
+        from_w, from_s = np.where(before >= 0, cw[before], 0), np.where(before >= 0, cs[before], 0)
+        wl, sl, all_w, all_s = cw[ends] - from_w, cs[ends] - from_s, cw[stop][at] - from_w, cs[stop][at] - from_s
+        d = sl.astype(np.float64) * all_w - all_s.astype(np.float64) * wl
+        ok = (wl < all_w) & (d != 0)
+        gain = d[ok] * d[ok] / (all_w[ok].astype(np.float64) * (wl[ok].astype(np.float64) * (all_w - wl)[ok]))
+        found.append((n[ends][ok], np.full(ok.sum(), f), b[ends][ok], gain, all_w[ok], all_s[ok], wl[ok], sl[ok]))
+    names = ("node", "feature", "bin", "gain", "w", "s", "wl", "sl")
+    out = dict(zip(names, map(np.concatenate, zip(*found))))
+    order = np.lexsort((out["bin"], out["feature"], -out["gain"], out["node"]))
+    order = order[np.diff(out["node"][order], prepend=-1) != 0]
+    return {k: v[order] for k, v in out.items()}
+
+
+def _grown(bins: Sequence[str], level: int, depth: int, types: pa.Schema):
+    """Function that grows a node at ``level`` to its leaves: the splits below it, and its asked cells with ``w`` and ``s`` of their leaf."""
+
+    def grown(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cells = [table[b].to_numpy() for b in bins]
+        w, s, asked = (table[c].to_numpy() for c in ("w", "s", "asked"))
+        node = np.full(len(w), key[1].as_py(), np.int64)
+        held, active = w > 0, np.ones(len(w), bool)
+        leaf_w, leaf_s = np.full(len(w), w.sum()), np.full(len(w), s[held].sum())
+        parts = []
+        for _ in range(level, depth):
+            own = np.flatnonzero(held & active)
+            best = _splits_in(node[own], [c[own] for c in cells], w[own], s[own]) if len(own) else {"node": own}
+            if not len(best["node"]):
+                break
+            parts.append({k: pa.array(v) for k, v in best.items()})
+            at = np.minimum(np.searchsorted(best["node"], node), len(best["node"]) - 1)
+            active &= best["node"][at] == node
+            at = at[active]
+            right = np.choose(best["feature"][at], [c[active] for c in cells]) > best["bin"][at]
+            node[active] = 2 * node[active] + right
+            for total, x, left in ((leaf_w, "w", "wl"), (leaf_s, "s", "sl")):
+                total[active] = np.where(right, best[x][at] - best[left][at], best[left][at])
+        parts.append({b: pa.array(c[asked]) for b, c in zip(bins, cells)} | {"node": pa.array(node[asked]), "w": pa.array(leaf_w[asked]), "s": pa.array(leaf_s[asked])})
+        sizes = [len(p["node"]) for p in parts]
+        columns = {f.name: pa.concat_arrays([p[f.name].cast(f.type) if f.name in p else pa.nulls(n, f.type) for p, n in zip(parts, sizes)]) for f in types}
+        columns["tree"] = pa.array(np.full(sum(sizes), key[0].as_py()), types.field("tree").type)
+        return pa.Table.from_pydict(columns, types)
+
+    return grown
+
+
+def _below(cells: DataFrame, bins: Sequence[str], level: int, depth: int) -> DataFrame:
+    """Splits (``feature`` is given) and asked cells with their leaf's ``w`` and ``s`` of all nodes at ``level``, grown node by node."""
+    ship(cells.sparkSession)
+    ints, longs = ("tree", "node", "feature", "bin", *bins), ("w", "s", "wl", "sl")
+    types = pa.schema([(c, pa.int32()) for c in ints] + [(c, pa.int64()) for c in longs] + [("gain", pa.float64())])
+    schema = ", ".join([f"{c} int" for c in ints] + [f"{c} bigint" for c in longs] + ["gain double"])
+    own = cells.select("tree", "node", *bins, "w", "s", "asked")
+    return stage(own.groupBy("tree", "node").applyInArrow(_grown(list(bins), level, depth, types), schema), "grown")
+
+
 def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, seed: int = 42, key: Sequence[str] | None = None,
          trees: int = TREES, depth: int = DEPTH, max_bins: int = MAX_BINS) -> Forest:
     """Fit on the rows where ``train`` holds. ``rows`` is read several times and should be staged; no value may be missing."""
@@ -154,8 +230,12 @@ def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, se
     cells = stage(_drawn(marked, bins, trees).withColumn("node", F.lit(1)), "cells")
     root = cells.groupBy("tree").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).select("tree", F.lit(1).alias("node"), "w", "s")
 
-    levels, finished = [], []
+    levels, finished, below = [], [], None
     for level in range(depth):
+        if (cells.groupBy("tree", "node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= NODE_CELLS:
+            below = _below(cells, bins, level, depth)
+            cells = cells.limit(0)
+            break
         best = stage(_best_splits(cells, len(features), level), "splits")
         found = best.count()
         if not found:
@@ -171,11 +251,17 @@ def grow(rows: DataFrame, features: Sequence[str], label: str, train: Column, se
         cells = moved.where("inner")
     finished.append(cells.where("asked"))
     splits = reduce(DataFrame.union, levels) if levels else _best_splits(cells, len(features), 0).limit(0)
+    mean = F.lit(centre) + unit * F.col("s") / F.col("w")
     left = splits.selectExpr("tree", "2 * node AS node", "wl AS w", "sl AS s")
     right = splits.selectExpr("tree", "2 * node + 1 AS node", "w - wl AS w", "s - sl AS s")
-    means = root.union(left).union(right).select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), (F.lit(centre) + unit * F.col("s") / F.col("w")).alias("value"))
+    splits = splits if below is None else splits.union(below.where("feature IS NOT NULL").select(*splits.columns))
+    means = root.union(left).union(right).select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), mean.alias("value"))
     ends = reduce(DataFrame.union, [x.select("tree", "node", *bins) for x in finished])
     found = ends.join(means.hint("shuffle_hash"), (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")))
+    found = found.select(*bins, "value")
+    if below is not None:
+        told = below.where("feature IS NULL").select(*bins, mean.alias("value"))
+        found = found.union(told) if levels else told
     # the sum is of whole units, so the same in any order
     leaves = stage(found.groupBy(*bins).agg(F.avg("value").alias("value")), "leaves")
     return Forest(features, cuts, splits, leaves)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.order_stats import is_number, quantiles_of
-from tillscope.functions.staging import spread, stage
+from tillscope.functions.staging import stage
 from tillscope.model import REVENUE_FEATURES as FEATURES
 from tillscope.operators.forest import DEPTH, TREES, Forest, grow, importances, predicted
 from tillscope.operators.group_tests import levene
@@ -39,13 +39,15 @@ def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def prepared(df: DataFrame, features: Sequence[str], label: str, seed: int, key) -> DataFrame:
-    """Label, features, both as they are and assembled, key and side of the split of the complete rows, staged for repeated passes."""
-    marked = split(complete(df, [*features, label]), 25, seed, key)
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+def prepared(df: DataFrame, features: Sequence[str], label: str, seed: int, key, staged: bool = False) -> DataFrame:
+    """Label, features, both as they are and assembled, key and side of the split of the complete rows.
+
+    All but the assembled features, which repeat others, is staged for repeated passes; ``staged``: ``df`` is, too.
+    """
+    marked = split(complete(df, [*features, label]), 25, seed, key, staged=staged)
     names = [c for c in (key or key_columns(df)) if c not in features]
-    rows = vectors.transform(marked).select(*features, *names, "features", F.col(label).cast("double").alias("label"), "is_test")
-    return stage(spread(rows), "model-input")
+    rows = stage(marked.select(*features, *names, F.col(label).cast("double").alias("label"), "is_test"), "model-input")
+    return rows.withColumn("features", array_to_vector(F.array(*[F.col(f).cast("double") for f in features])))
 
 
 def fit_ols(train: DataFrame):
@@ -87,9 +89,10 @@ def fit_forest(data: DataFrame, features: Sequence[str], seed: int, key, trees:
 def forest_predictions(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
                        seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Actual, fitted and residual value of every test row, by the forest."""
-    require(df)
     key = key or key_columns(df)
-    data = prepared(df, features, label, seed, key)
+    df = stage(df.select(*dict.fromkeys([*key, *features, label])), "rows")
+    require(df)
+    data = prepared(df, features, label, seed, key, staged=True)
     return _fitted(fit_forest(data, features, seed, key, trees, depth), data)
 
 
@@ -102,9 +105,10 @@ def revenue_models(df: DataFrame, features: Sequence[str] = FEATURES, label: str
                    seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Linear baseline and random forest: R², MAE, sizes, the gap in R² and the
     forest's feature importances."""
-    require(df)
     key = key or key_columns(df)
-    data = prepared(df, features, label, seed, key)
+    df = stage(df.select(*dict.fromkeys([*key, *features, label])), "rows")
+    require(df)
+    data = prepared(df, features, label, seed, key, staged=True)
     model = fit_ols(data.where("NOT is_test"))
     line = model.transform(data.where("is_test")).select(F.col("label").alias("actual"), F.col("prediction").alias("fitted"))
     forest = fit_forest(data, features, seed, key, trees, depth)
@@ -121,9 +125,10 @@ def revenue_models(df: DataFrame, features: Sequence[str] = FEATURES, label: str
 def forest_importance(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "final_price",
                       seed: int = 42, key=None, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Share of the error reduction per feature, ascending."""
-    require(df)
     key = key or key_columns(df)
-    found = importances(fit_forest(prepared(df, features, label, seed, key), features, seed, key, trees, depth))
+    df = stage(df.select(*dict.fromkeys([*key, *features, label])), "rows")
+    require(df)
+    found = importances(fit_forest(prepared(df, features, label, seed, key, staged=True), features, seed, key, trees, depth))
     names = F.array(*[F.lit(f) for f in features])
     all_of = df.sparkSession.range(len(features)).select(F.col("id").cast("int").alias("_i"), F.get(names, F.col("id").cast("int")).alias("name"))
     return (all_of.join(found, F.col("_i") == F.col("feature"), "left")

@@ -56,18 +56,19 @@ def _same(keys: Sequence[str]) -> Column:
 
 
 def split(df: DataFrame, test_pct: int = 25, seed: int = 42, key: Sequence[str] | None = None,
-          by: Sequence[str] = ()) -> DataFrame:
+          by: Sequence[str] = (), staged: bool = False) -> DataFrame:
     """Mark exactly ceil(n · pct / 100) rows ``is_test``: those with the smallest digests, in each class of ``by``.
 
     The last digest taken is found by counting prefixes of digests: 4 digits of
     all rows, 8 of those that share the first 4 with it, then whole digests; no
     rows are sorted. A digest is of the key columns and, behind that, of all
     columns, so only rows equal in all of them tie. Of tied rows as many as are
-    wanted are taken, counted by input partition first. ``df`` is staged.
+    wanted are taken, counted by input partition first. ``df`` is staged, unless
+    it is ``staged`` already; digests, longer than most rows, are made anew where they are read.
     """
     by = list(by)
     every = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), 16, "0")
-    rows = stage(df.withColumn("_d", F.concat(row_digest(key or key_columns(df), seed), F.lower(every))), "digests")
+    rows = (df if staged else stage(df, "rows")).withColumn("_d", F.concat(row_digest(key or key_columns(df), seed), F.lower(every)))
     small = few_groups(rows, by)
     keys = [f"_k_{c}" for c in by]
     cut = quotas(rows, by, test_pct).select(*[F.col(c).alias(f"_k_{c}") for c in by], "_want", F.lit("").alias("_last"))
