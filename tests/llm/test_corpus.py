@@ -657,3 +657,31 @@ def test_trie_packs_low_bits_in_pieces(monkeypatch):
     monkeypatch.setattr(ngram_trie, "pack_bits", lambda v, width: sizes.append(len(v)) or pack(v, width))
     pieces = ngram_trie.EliasFano.arrays(values, "x")
     assert max(sizes) == 64 and sum(sizes) == 1000 and all((whole[k] == pieces[k]).all() for k in whole)
+
+
+def test_trie_deals_the_followers_of_one_context_to_several_shards(spark):
+    common.ship(spark)
+    texts = spark.createDataFrame([(" ".join(f"the w{i * 40 + j} the w{i % 7}" for i in range(60)),) for j in range(40)], "text string").repartition(8)
+    one = texts.coalesce(1)
+    for least in (1, 2):
+        many, whole = ngram_trie.fit(texts, least=least), ngram_trie.fit(one, least=least)
+        for a, b in zip(many.levels, whole.levels):
+            assert sum(a[3].values()) == sum(b[3].values())
+        assert ngram_trie.score(texts, many).select("lm.*").exceptAll(ngram_trie.score(texts, whole).select("lm.*")).isEmpty()
+    sizes = ngram_trie.fit(texts).levels[0][3]
+    assert len(sizes) == 8 and max(sizes.values()) < 2.2 * sum(sizes.values()) / 8  # "the" has half of all pairs
+
+
+def test_a_task_sends_rows_before_its_end(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts = [ngram_trie._summed([rng.integers(0, 5000, 300).astype(np.uint64), np.ones(300, np.uint64)]) for _ in range(40)]
+    for held, calls in ((100_000, 1), (1000, 2)):
+        monkeypatch.setattr(common, "HELD", held)
+        taken, at = [], []
+        for shard, (key, count) in common.dealt((at.append(len(taken)) or p for p in parts), ngram_trie._summed, lambda key: key >> np.uint64(11)):
+            assert (np.diff(key.astype(np.int64)) > 0).all() and (key >> np.uint64(11) == shard).all()
+            taken.append((key, count))
+        assert len(set(at)) >= calls and (held > 1000 or len(taken) > 20)
+        key, count = ngram_trie._summed([np.concatenate(c) for c in zip(*taken)])
+        want = ngram_trie._summed([np.concatenate(c) for c in zip(*parts)])
+        assert (key == want[0]).all() and (count == want[1]).all()

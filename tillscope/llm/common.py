@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions.staging import ship
 
@@ -16,8 +17,10 @@ from tillscope.functions.staging import ship
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that are worked on at a time; a longer text is one piece.
 CHUNK = 4 << 20
-#: Rows that a shard's task combines at a time.
+#: Rows that are combined at a time, by a task that deals to shards and by a shard's.
 GATHERED = 1 << 18
+#: Rows that a task holds before it combines them; what is more than half of that then goes to the shards.
+HELD = 3 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -94,15 +97,20 @@ class Words(NamedTuple):
 
 def chunks(texts: pa.Array, limit: int = CHUNK):
     """(data, offsets) of consecutive texts, about ``limit`` bytes at a time; null is an empty text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    yield from cut(data, offsets, limit)
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, limit: int):
+    """(data, offsets) of consecutive texts among these, about ``limit`` bytes at a time."""
     at = 0
-    while at < len(texts):
+    while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         yield data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
         at = to
@@ -252,41 +260,68 @@ def by_range(parts: list, rows: int):
             yield [[c[own[k]:own[k + 1]] for c in p] for p, own in zip(parts, cuts)]
 
 
-def in_shards(df: DataFrame, pairs, combine, shard_of, finish, schema: str) -> DataFrame:
-    """Exchange numbers as packed arrays, and run ``finish`` on the arrays of each shard.
+def combined(parts: list, combine) -> list:
+    """``combine`` on ``parts``, ``GATHERED`` rows at a time: tuples of arrays whose keys lie apart and in order."""
+    return [combine([np.concatenate(c) for c in zip(*piece)]) for piece in by_range(parts, GATHERED)]
+
+
+def dealt(found, combine, shard_of):
+    """Tuples of arrays, sorted by the first, as (shard, columns) of one row per key; a task's rows beyond ``HELD`` go out before its end."""
+    def out(parts):
+        for columns in combined(parts, combine):
+            shard = shard_of(columns[0]).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(shard)) + 1  # sorted by key, so each shard is one run
+            for a, b in zip([0, *cuts], [*cuts, len(shard)]):
+                if a < b:
+                    yield int(shard[a]), [c[a:b] for c in columns]
 
-    pairs(batches): yields tuples of equally long arrays, the key first.
+    held, size = [], 0
+    for columns in found:
+        held.append(columns)
+        size += len(columns[0])
+        if size > HELD:
+            held = combined(held, combine)
+            size = sum(len(p[0]) for p in held)
+            if size > HELD // 2:
+                yield from out(held)
+                held, size = [], 0
+    if held:
+        yield from out(held)
+
+
+def in_shards(df: DataFrame, pairs, combine, shard_of, finish, schema: str, shards: int) -> DataFrame:
+    """Exchange numbers as packed arrays, and run ``finish`` on the arrays of each shard, in a task of its own.
+
+    pairs(batches): yields tuples of equally long arrays, the key first and sorted.
     combine(columns): the tuple with one row per key, sorted; applied as soon
     as a task holds many rows and once at its end, so that a frequent key costs
-    a row per task. finish(shard, columns): a dictionary with a row of ``schema``.
+    few rows a task. finish(shard, columns): a dictionary with a row of ``schema``.
     What tasks sent to a shard is combined by ranges of keys, ``GATHERED`` rows at a time.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    told = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def deal(batches):
-        held, size = [], 0
-        for columns in pairs(batches):
-            held.append(columns)
-            size += len(columns[0])
-            if size > 1 << 22:
-                held = [combine([np.concatenate(c) for c in zip(*held)])]
-                size = len(held[0][0]) // 2  # only new rows count in full
-        if not held:
-            return
-        columns = combine([np.concatenate(c) for c in zip(*held)])
-        shard = shard_of(columns[0]).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(shard)) + 1  # sorted by key, so each shard is one run
-        for a, b in zip([0, *cuts], [*cuts, len(shard)]):
-            if a < b:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard[a]], pa.int32()), "payload": pa.array([b"".join(c[a:b].astype("<u8").tobytes() for c in columns)], pa.binary()), "width": pa.array([len(columns)], pa.int32())})
-
-    def gather(key, table):
-        width = table["width"][0].as_py()
-        parts = [np.frombuffer(x.as_buffer(), "<u8").reshape(width, -1) for x in table["payload"]]
-        pieces = [combine([np.concatenate(c) for c in zip(*piece)]) for piece in by_range(parts, GATHERED)]
-        row = finish(key[0].as_py(), [np.concatenate(c) for c in zip(*pieces)])
-        return pa.Table.from_pylist([row])
-
-    return df.mapInArrow(deal, "shard int, payload binary, width int").groupBy("shard").applyInArrow(gather, schema)
+        for shard, columns in dealt(pairs(batches), combine, shard_of):
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "payload": pa.array([b"".join(c.astype("<u8").tobytes() for c in columns)], pa.binary()), "width": pa.array([len(columns)], pa.int32())})
+
+    def gather(batches):
+        sent = {}
+        for batch in batches:
+            for shard, payload, width in zip(*(batch.column(x) for x in ("shard", "payload", "width"))):
+                sent.setdefault(shard.as_py(), []).append(np.frombuffer(payload.as_buffer(), "<u8").reshape(width.as_py(), -1))
+        batch = payload = None  # so that what was sent goes when it is combined
+        for shard in sorted(sent):
+            pieces = [list(p) for p in combined(sent.pop(shard), combine)]
+            columns = []
+            for k in range(len(pieces[0])):
+                columns.append(np.concatenate([p[k] for p in pieces]))
+                for p in pieces:
+                    p[k] = None
+            yield pa.RecordBatch.from_pylist([finish(shard, columns)], told)
+
+    return df.mapInArrow(deal, "shard int, payload binary, width int").repartitionById(shards, "shard").mapInArrow(gather, schema)
 
 
 class Sorted:

@@ -82,7 +82,7 @@ def _index(docs: DataFrame, keys, name: str) -> tuple[str, int, dict[int, int]]:
             who, at = batch.column("who").to_numpy(zero_copy_only=False).view(np.uint64), 0
             for data, offsets in chunks(batch.column("text"), PIECE):
                 key, doc = keys(data, offsets)
-                yield key, who[at + doc], who[at + doc]
+                yield _spread([key, who[at + doc], who[at + doc]])
                 at += len(offsets) - 1
 
     def finish(shard: int, columns) -> dict:
@@ -91,7 +91,7 @@ def _index(docs: DataFrame, keys, name: str) -> tuple[str, int, dict[int, int]]:
         save_arrays(f"{folder}/{shard:06d}", {"key": key})
         return {"shard": shard, "n": len(key)}
 
-    done = in_shards(docs, pairs, _spread, top_bits(shards), finish, "shard long, n long")
+    done = in_shards(docs, pairs, _spread, top_bits(shards), finish, "shard long, n long", shards)
     return folder, shards, dict(stage(done, name).where("n > 0").collect())
 
 
