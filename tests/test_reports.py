@@ -167,3 +167,43 @@ def test_overview_reads_rows_once_where_none_repeats(spark):
     assert reads.value == 9
     twice = quality.dq_overview(plain.union(plain.where("id < 3"))).first()
     assert (twice["rows"], twice["duplicates"]) == (12, 3)
+
+
+def test_inferred_csv_is_packed_and_written_part_by_part(spark, tmp_path, monkeypatch):
+    from tillscope.plans import reports
+    from tillscope.plans.catalog import Inputs
+    from tillscope.sources import star
+
+    day, rows = dt.datetime(2024, 1, 1), range(40)
+    tables = {
+        "lineitem": [(i % 15, i % 6 if i % 9 else None, i, 1.0 + i, 10.5 * i + 1, 0.05, "R", "O", day) for i in [*rows, 3]],
+        "orders": [(i, i % 4, day + dt.timedelta(i), f"{i % 3}-HIGH") for i in range(14)], "customer": [(i, i % 2, "BUILDING") for i in range(4)],
+        "nation": [(0, "A", 0), (1, "B", 0)], "region": [(0, "ASIA")], "part": [(i, f"b{i}", "t") for i in range(5)]}
+    for name, own in tables.items():
+        spark.createDataFrame(own, star.SCHEMAS[name].replace("timestamp_ntz", "timestamp")).selectExpr(*(f"CAST({c.split()[0]} AS {c.split()[1]})" for c in star.SCHEMAS[name].split(", "))).write.parquet(str(tmp_path / f"{name}.parquet"))
+    paths = []
+    monkeypatch.setattr(star, "LINES", 10)
+    monkeypatch.setattr(reports, "shared_path", lambda *a: paths.append(shared_path(*a)) or paths[-1])
+    want = star.star_transactions(spark, str(tmp_path))
+    parts = star.star_parts(spark, str(tmp_path))
+    assert len(parts) == 5 and sorted(r for p in parts for r in map(str, p.collect())) == sorted(map(str, want.collect()))
+    got = reports.inferred_round_trip(Inputs(spark, str(tmp_path)))
+    key = ["order_id", "order_date", "product_price", "product_subcategory"]
+    assert want.count() > 20 and sorted(got.select(key).collect()) == sorted(want.select(key).collect())
+    files = [p for p in (tmp_path.__class__(paths[0].removeprefix("file:"))).iterdir() if p.name.startswith("part-")]
+    assert len(files) >= 3 and all(p.name.endswith(".csv.gz") for p in files)
+
+
+def test_shuffle_files_go_when_the_table_is_written(spark, tmp_path):
+    from tillscope.functions.staging import shuffles_dropped
+
+    def kept():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(key, None), kept()
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "x"))
+    assert not kept() - before and spark.conf.get(key, None) == set_before
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 1000

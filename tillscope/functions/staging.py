@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +56,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go when it is written, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Unlike a cached copy it outlives lost executors, its columns are pruned on
     reading, and its size is known to the planner.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillscope.functions import sketches as sk
 from tillscope.functions.memo import memoised
-from tillscope.functions.staging import shared_path, stage
+from tillscope.functions.staging import shared_path, shuffles_dropped, stage
 from tillscope.model import FILTER_COLS, NUM_COLS
 from tillscope.operators import metrics as m
 from tillscope.operators import outliers as o
@@ -18,6 +18,7 @@ from tillscope.operators import series as ts
 from tillscope.operators import slices as sl
 from tillscope.plans.catalog import Query
 from tillscope.sources.inferred import read_inferred
+from tillscope.sources.star import star_parts
 from tillscope.sources.transactions import export_slice, read_transactions
 
 YEAR = ("1998-01-01", "1998-12-31")
@@ -51,7 +52,9 @@ def csv_round_trip(c, df):
 
 def inferred_round_trip(c):
     path = shared_path(c.spark, "csv")
-    export_slice(c.raw, path)
+    with shuffles_dropped(c.spark):
+        for part in star_parts(c.spark, c.folder):
+            export_slice(part, path, "append", "gzip")
     return read_inferred(c.spark, path).rows
 
 

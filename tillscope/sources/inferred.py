@@ -83,7 +83,7 @@ def read_inferred(spark: SparkSession, path: str, bad_share: float = 0.01, sep:
     if not names:
         raise ValueError(f"no header in {path}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    text = stage(spark.read.schema(schema).options(**options).csv(path), "csv-text")
+    text = stage(spark.read.schema(schema).options(**options).csv(path), "csv-text", "zstd")
     whole = text.where(F.col(CORRUPT).isNull())
     counts = _fits(whole, _possible(whole, names, bad_share))
     kinds: dict[str, T.DataType] = {}

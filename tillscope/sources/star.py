@@ -38,16 +38,28 @@ TRANSACTION_COLUMNS = {
 }
 
 
-def star_transactions(spark: SparkSession, folder: str) -> DataFrame:
+#: Order lines that are joined at a time where a table is written part by part.
+LINES = 1 << 25
+
+
+def star_parts(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """``star_transactions`` in parts of about ``LINES`` rows, by a hash of the order, so that the shuffles of one part go before the next."""
+    n = max(1, -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // LINES))
+    return [star_transactions(spark, folder, (k, n)) for k in range(n)]
+
+
+def star_transactions(spark: SparkSession, folder: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """One transaction per order line, with the columns of ``RAW_SCHEMA``.
 
     Five inner equi-joins; the join strategy is left to Catalyst and AQE, so
-    small dimensions broadcast and large ones sort-merge.
+    small dimensions broadcast and large ones sort-merge. part: (k, n) for the
+    k-th of n parts of the orders.
     """
-    def table(name):
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    def table(name, key=None):
+        df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+        return df.where(F.pmod(F.xxhash64(key), F.lit(part[1])) == part[0]) if key and part[1] > 1 else df
 
-    joined = (table("lineitem").join(table("orders"), F.expr("l_orderkey = o_orderkey"))
+    joined = (table("lineitem", "l_orderkey").join(table("orders", "o_orderkey"), F.expr("l_orderkey = o_orderkey"))
               .join(table("customer"), F.expr("o_custkey = c_custkey"))
               .join(table("nation"), F.expr("c_nationkey = n_nationkey"))
               .join(table("region"), F.expr("n_regionkey = r_regionkey"))

@@ -33,6 +33,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
-def export_slice(df: DataFrame, path: str) -> None:
-    """Write ``df`` as CSV with a header, one file per partition."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+def export_slice(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """Write ``df`` as CSV with a header, one file per partition; gzip at its fastest level."""
+    df.write.mode(mode).option("header", True).option("zlib.compress.level", "BEST_SPEED").csv(path, compression=compression)
