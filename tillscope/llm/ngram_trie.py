@@ -169,9 +169,9 @@ class Level:
             chance = arrays["chance"][at]
             for name, context_, begin in (("head", low, 0), ("tail", high - 1, following.count - len(arrays["tail"]))):
                 counts = arrays[name]
-                if len(counts):
-                    of = np.flatnonzero((at >= begin) & (at < begin + len(counts)))
-                    chance[of] = _quantised(counts[at[of] - begin] / self.shared[context_][0])
+                i, j = np.searchsorted(at, (begin, begin + len(counts)))  # the pairs are sorted, so their places are too
+                if i < j:
+                    chance[i:j] = _quantised(counts[at[i:j] - begin] / self.shared[context_][0])
             p[where] = 10.0 ** (chance / -STEPS)
         return node, p, g
 
